@@ -171,11 +171,17 @@ def jaro_winkler_pairs(values: pa.Array) -> pa.Array:
     return _batch_similarity(values, "JaroWinkler")
 
 
+jaro_winkler_pairs = jaro_winkler_pairs.asNondeterministic()
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def osa_pairs(values: pa.Array) -> pa.Array:
     return _batch_similarity(values, "NormalisedDamerauLevenshtein")
 
 
+osa_pairs = osa_pairs.asNondeterministic()
+
+
 def nickname_pairs(lexicons) -> "callable":
     """UDF giving, for every pair, the 1-based first lexicon in which both names share a group."""
     tables = [
@@ -197,7 +203,7 @@ def nickname_pairs(lexicons) -> "callable":
             found = np.where((found == 0) & same, number, found)
         return _like(values, pa.array(found, pa.int32()))
 
-    return hit
+    return hit.asNondeterministic()
 
 
 def _single(kind):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.config import MatchingProfile, TenantConfig
+from kinweave.config import MatchingProfile, Secret, TenantConfig
 from kinweave.functions.hashing import hmac_sha256
 
 KEY = ["tenant_id", "key_version", "key_value"]
@@ -55,19 +55,19 @@ def raw_blocking_keys(df: DataFrame, cfg: TenantConfig) -> DataFrame:
     return df.withColumn("raw_keys", raw_keys_column(F.col("norm"), cfg.profile))
 
 
+def _hashed(raw: Column, item: Secret) -> Column:
+    return F.transform(
+        raw,
+        lambda key: F.struct(
+            F.lit(item.version).alias("version"), hmac_sha256(key, item.secret).alias("value")
+        ),
+    )
+
+
 def blocking_keys(df: DataFrame, cfg: TenantConfig, output: str = "blocking_keys") -> DataFrame:
     """Hash every raw key under every secret version."""
     raw = raw_keys_column(F.col("norm"), cfg.profile)
-    hashed = [
-        F.transform(
-            F.col("_raw"),
-            lambda key, item=item: F.struct(
-                F.lit(item.version).alias("version"),
-                hmac_sha256(key, item.secret).alias("value"),
-            ),
-        )
-        for item in cfg.secrets
-    ]
+    hashed = [_hashed(F.col("_raw"), item) for item in cfg.secrets]
     return (
         df.withColumn("_raw", raw).withColumn(output, reduce(F.concat, hashed)).drop("_raw")
     )
@@ -122,6 +122,7 @@ def candidates(
     ``queries`` holds (tenant_id, query_id, key_version, key_value) rows. A block with more than
     ``cap`` identities refuses its queries before any pair is made; every other block yields at
     most ``cap`` rows per query, so the join stays linear in the queries however hot a key is.
+    Pairs carry ``candidate_count``, the distinct candidates of their query.
     """
     # One secret version is enough where both sides have it, but rows written before a rotation may
     # carry other versions only; joining on all and removing repeats is right for both.
@@ -135,14 +136,12 @@ def candidates(
         .select("tenant_id", "query_id", F.col("enterprise_id").alias("candidate_id"))
         .distinct()
     )
-    many = (
-        pairs.groupBy("tenant_id", "query_id")
-        .agg(F.count(F.lit(1)).alias("candidate_count"))
-        .where(F.col("candidate_count") > cap)
-        .select("tenant_id", "query_id")
+    counts = pairs.groupBy("tenant_id", "query_id").agg(
+        F.count(F.lit(1)).alias("candidate_count")
     )
-    rejected = over_queries.unionByName(many)
-    return pairs.join(many, ["tenant_id", "query_id"], "left_anti"), rejected
+    many = counts.where(F.col("candidate_count") > cap).select("tenant_id", "query_id")
+    allowed = counts.where(F.col("candidate_count") <= cap)
+    return pairs.join(allowed, ["tenant_id", "query_id"]), over_queries.unionByName(many)
 
 
 def self_candidates(index: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:

@@ -78,22 +78,30 @@ def _texts(pairs: Column) -> Column:
 def _with_batch_scores(
     df: DataFrame, pairs: str, kinds: tuple[str, ...], comparators: Comparators
 ) -> DataFrame:
-    """Columns of the comparators that run as Arrow batches, one array per pairs column."""
-    texts = _texts(F.col(pairs))
-    if "JaroWinkler" in kinds:
-        df = df.withColumn(f"{pairs}_JaroWinkler", sim.jaro_winkler_pairs(texts))
-    if "NormalisedDamerauLevenshtein" in kinds:
-        df = df.withColumn(f"{pairs}_NormalisedDamerauLevenshtein", sim.osa_pairs(texts))
+    """Give the pairs one more field per comparator that runs as Arrow batches.
+
+    The UDFs are marked non-deterministic so that their output stays a column of its own: Spark
+    must neither run them twice nor fold them into the lambdas that read them.
+    """
+    batch = {
+        "JaroWinkler": sim.jaro_winkler_pairs,
+        "NormalisedDamerauLevenshtein": sim.osa_pairs,
+    }
     if "Nickname" in kinds:
-        df = df.withColumn(
-            f"{pairs}_Nickname", sim.nickname_pairs(comparators.lexicons)(texts)
+        batch["Nickname"] = sim.nickname_pairs(comparators.lexicons)
+    used = [kind for kind in batch if kind in kinds]
+    texts = _texts(F.col(pairs))
+    for kind in used:
+        df = df.withColumn(f"{pairs}_{kind}", batch[kind](texts))
+    made = F.col(pairs)
+    for kind in used:
+        made = F.zip_with(
+            made, F.col(f"{pairs}_{kind}"), lambda p, v: p.withField(kind, v)
         )
-    return df
+    return df.withColumn(pairs, made)
 
 
-def best_comparator(
-    pair: Column, index: Column, prefix: str, kinds: tuple[str, ...], comparators: Comparators
-) -> Column:
+def best_comparator(pair: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
     """Best of the configured comparators for one pair; ties keep the earlier one."""
     results = []
     for kind in kinds:
@@ -112,7 +120,7 @@ def best_comparator(
                 )
             )
         elif kind == "Nickname":
-            hit = F.get(F.col(f"{prefix}_Nickname"), index)
+            hit = pair["Nickname"]
             detail = F.lit(None).cast("string")
             for number, lexicon in reversed(list(enumerate(comparators.lexicons, start=1))):
                 detail = F.when(
@@ -126,17 +134,20 @@ def best_comparator(
                 )
             )
         else:
-            results.append(_result(F.get(F.col(f"{prefix}_{kind}"), index), label))
+            results.append(_result(pair[kind], label))
     return reduce(_later_must_beat, results)
 
 
-def _best_of_cross(prefix: str, kinds: tuple[str, ...], comparators: Comparators) -> Column:
-    scored = F.transform(
-        F.col(prefix),
-        lambda pair, index: best_comparator(pair, index, prefix, kinds, comparators),
-    )
+def _best_of_cross(pairs: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
+    """Best pair of a cross of values; ties keep the earlier pair."""
     nothing = _result(F.lit(0.0), "none").cast(_RESULT)
-    return F.aggregate(scored, nothing, lambda best, new: _later_must_beat(best, new.cast(_RESULT)))
+    return F.aggregate(
+        pairs,
+        nothing,
+        lambda best, pair: _later_must_beat(
+            best, best_comparator(pair, kinds, comparators).cast(_RESULT)
+        ),
+    )
 
 
 def _birth_date(left: Column, right: Column) -> tuple[Column, Column, Column]:
@@ -230,8 +241,8 @@ def compare(
     df = _with_batch_scores(df, "_family", kinds.family, kinds)
     df = _with_batch_scores(df, "_given", kinds.given, kinds)
     df = (
-        df.withColumn("_family_best", _best_of_cross("_family", kinds.family, kinds))
-        .withColumn("_given_best", _best_of_cross("_given", kinds.given, kinds))
+        df.withColumn("_family_best", _best_of_cross(F.col("_family"), kinds.family, kinds))
+        .withColumn("_given_best", _best_of_cross(F.col("_given"), kinds.given, kinds))
         .withColumn("_dob", F.struct(*_named(_birth_date(a, b))))
         .withColumn("_address", F.struct(*_named(_address(a, b))))
         .withColumn("_telecom", F.struct(*_named(_telecom(a, b))))

@@ -20,10 +20,6 @@ EVIDENCE = (
     "struct<field:string,similarity:double,weight:double,comparator:string,detail:string,"
     "is_missing:boolean,comparison_level:string,log_likelihood_ratio:double>"
 )
-LINK = (
-    f"struct<source:{SOURCE_KEY},source_resource_id:string,assurance:string,"
-    "linked_at:timestamp,reason:string>"
-)
 APPROVAL = "struct<actor:string,decision:string,reason:string,approved_at:timestamp>"
 
 SOURCE_PATIENTS = (
@@ -31,15 +27,25 @@ SOURCE_PATIENTS = (
     f"enterprise_id string, profile {PROFILE}, source_trust int, last_updated timestamp, "
     "version bigint"
 )
+# Which sources an identity owns and which links its person carries are relations of their own, not
+# arrays on the identity: an identity with a million sources is a million narrow rows.
 CANONICAL_PATIENTS = (
-    f"tenant_id string, enterprise_id string, profile {PROFILE}, sources array<{SOURCE_KEY}>, "
+    f"tenant_id string, enterprise_id string, profile {PROFILE}, "
     f"blocking_keys array<{BLOCKING_KEY}>, survivorship_trust int, created_at timestamp, "
     "last_updated timestamp, version bigint, is_active boolean, replaced_by string"
 )
+CANONICAL_SOURCES = (
+    "tenant_id string, enterprise_id string, position bigint, source_system string, local_id string"
+)
 PERSONS = (
-    f"tenant_id string, enterprise_id string, links array<{LINK}>, created_at timestamp, "
+    "tenant_id string, enterprise_id string, created_at timestamp, "
     "last_updated timestamp, version bigint, is_active boolean, replaced_by string"
 )
+PERSON_LINKS = (
+    "tenant_id string, enterprise_id string, position bigint, source_system string, "
+    "local_id string, source_resource_id string, assurance string, linked_at timestamp, "
+    "reason string"
+)
 REVIEW_CASES = (
     "tenant_id string, id string, subject_id string, candidate_id string, score double, "
     f"grade string, evidence array<{EVIDENCE}>, profile_version string, status string, "
@@ -73,7 +79,9 @@ TENANT_SETTINGS = (
 REGISTRY_TABLES = {
     "source_patients": SOURCE_PATIENTS,
     "canonical_patients": CANONICAL_PATIENTS,
+    "canonical_sources": CANONICAL_SOURCES,
     "persons": PERSONS,
+    "person_links": PERSON_LINKS,
     "review_cases": REVIEW_CASES,
     "audit": AUDIT,
     "receipts": RECEIPTS,
