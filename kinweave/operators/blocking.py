@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.config import MatchingProfile, Secret, TenantConfig
@@ -131,17 +131,20 @@ def candidates(
         queries.join(oversized, KEY, "left_semi").select("tenant_id", "query_id").distinct()
     )
     live = queries.join(over_queries, ["tenant_id", "query_id"], "left_anti")
+    # One shuffle by query serves the distinct and the count. A query holds at most (its keys x cap)
+    # rows here, so the window never sees a large group.
     pairs = (
         live.join(index, KEY)
         .select("tenant_id", "query_id", F.col("enterprise_id").alias("candidate_id"))
+        .repartition("tenant_id", "query_id")
         .distinct()
+        .withColumn(
+            "candidate_count",
+            F.count(F.lit(1)).over(Window.partitionBy("tenant_id", "query_id")),
+        )
     )
-    counts = pairs.groupBy("tenant_id", "query_id").agg(
-        F.count(F.lit(1)).alias("candidate_count")
-    )
-    many = counts.where(F.col("candidate_count") > cap).select("tenant_id", "query_id")
-    allowed = counts.where(F.col("candidate_count") <= cap)
-    return pairs.join(allowed, ["tenant_id", "query_id"]), over_queries.unionByName(many)
+    many = pairs.where(F.col("candidate_count") > cap).select("tenant_id", "query_id").distinct()
+    return pairs.where(F.col("candidate_count") <= cap), over_queries.unionByName(many)
 
 
 def self_candidates(index: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
