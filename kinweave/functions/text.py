@@ -126,9 +126,9 @@ def nhs_valid(c: Column) -> Column:
     number = digits(c)
     total = F.lit(0)
     for position in range(9):
-        total = total + F.substring(number, position + 1, 1).cast("int") * (10 - position)
+        total = total + F.substring(number, position + 1, 1).try_cast("int") * (10 - position)
     check = (11 - total % 11) % 11
-    last = F.substring(number, 10, 1).cast("int")
+    last = F.substring(number, 10, 1).try_cast("int")
     return F.coalesce(number.rlike("^[0-9]{10}$") & (check != 10) & (check == last), F.lit(False))
 
 

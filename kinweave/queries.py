@@ -183,7 +183,7 @@ def block_stats(spark, sf_dir):
     return blocking.block_stats(index).drop("tenant_id")
 
 
-PAIR_CAP = 5
+PAIR_CAP = 3
 
 
 def candidate_pairs(spark, sf_dir):
@@ -343,7 +343,7 @@ def label_checks(spark, sf_dir):
     turned = good.where(F.col("right_local_id").endswith("0")).select(
         F.col("right_source").alias("left_source"), F.col("right_local_id").alias("left_local_id"),
         F.col("left_source").alias("right_source"), F.col("left_local_id").alias("right_local_id"),
-        ~F.col("is_match").alias("is_match"),
+        (~F.col("is_match")).alias("is_match"),
     )
     stray = good.where(F.col("right_local_id").endswith("5")).withColumn(
         "right_local_id", F.concat(F.col("right_local_id"), F.lit("-gone"))
