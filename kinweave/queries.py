@@ -8,14 +8,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.config import Comparators, ProbabilityModel
-from kinweave.functions import hashing, similarity, text
-from kinweave.operators import assurance, blocking, compare, matching, normalise, scoring, survivorship
-from kinweave.plans import maintenance
+from kinweave.config import ProbabilityModel
+from kinweave.functions import similarity, text
+from kinweave.operators import (
+    assurance, blocking, compare, matching, normalise, quality, scoring, survivorship,
+)
+from kinweave.plans import maintenance, review, search
 from kinweave.plans import registry as reg
+from kinweave.plans.upsert import apply_receipts, upsert
 from kinweave.schemas import EVIDENCE_FIELDS
 from kinweave.session import stage
-from kinweave.sources import derived
+from kinweave.sources import derived, export, feed, fhir, hl7
 
 NOW = F.to_timestamp(F.lit("2024-03-01 00:00:00"))
 LOADED = "2024-01-15 00:00:00"
@@ -461,6 +464,394 @@ def reconcile_reviews(spark, sf_dir):
     )
 
 
+# ---- messages and feeds ---------------------------------------------------------------------------
+
+
+def adt_messages(spark, sf_dir) -> DataFrame:
+    """One ADT message per event row; the text is built from the event's columns."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(
+        "event_id", F.col("ts").alias("arrival"), "user_id",
+        F.expr(derived.ADT_TEXT).alias("message"),
+    )
+
+
+def adt_parse(spark, sf_dir):
+    parsed = hl7.parse_adt(adt_messages(spark, sf_dir), "hosp")
+    p = F.col("profile")
+    return parsed.select(
+        "event_id", "trigger", "control_id", "local_id", "previous_local_id", "error",
+        p["names"][0]["family"].alias("family"), F.get(p["names"][0]["given"], F.lit(0)).alias("given"),
+        p["birth_date"].alias("birth_date"), p["gender"].alias("gender"),
+        p["telecoms"][0]["value"].alias("phone"), p["identifiers"][0]["system"].alias("id_system"),
+    )
+
+
+def adt_latest(spark, sf_dir):
+    parsed = hl7.parse_adt(adt_messages(spark, sf_dir), "hosp").where("error is null")
+    latest = survivorship.latest_snapshot(
+        parsed.select(F.lit("demo").alias("tenant_id"), "source_system", "local_id", "control_id",
+                      "trigger", "arrival")
+    )
+    return latest.select("local_id", "control_id", "trigger", "arrival")
+
+
+def adt_acks(spark, sf_dir):
+    parsed = hl7.parse_adt(adt_messages(spark, sf_dir), "hosp")
+    coded = parsed.withColumns({
+        "ack_code": F.when(F.col("error").isNull(), "AA").otherwise("AR"),
+        "diagnostic": F.coalesce("error", F.lit("Message committed.")),
+    })
+    return hl7.adt_acks(coded, NOW).select(
+        "event_id", F.split("ack", "\r")[1].alias("msa"), F.split("ack", "\r")[2].alias("err")
+    )
+
+
+def replay_split(spark, sf_dir):
+    """Control ids are reused every 700 events; some repeats carry the same content."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.lit("demo").alias("tenant_id"), "event_id", F.col("ts").alias("arrival"),
+        F.col("event_id").alias("uid"),
+        F.concat(F.lit("k"), (F.col("event_id") % 700).cast("string")).alias("idempotency_key"),
+        F.upper(F.sha2((F.col("event_id") % 700 + (F.col("user_id") % 3) * 1000).cast("string"), 256))
+        .alias("payload_digest"),
+    )
+    receipts = reg.Registry(spark)["receipts"]
+    return apply_receipts(rows, receipts).select("event_id", "receipt_state")
+
+
+def run_buckets(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(
+        feed.run_bucket(F.col("ts"), "6 hours").alias("bucket")
+    ).agg(F.count(F.lit(1)).alias("events"))
+
+
+def _order_feed(spark, sf_dir) -> DataFrame:
+    """Every order as one version of its customer's record."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("resource_id"),
+        F.col("o_orderkey").cast("string").alias("version_id"),
+        F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("last_updated"),
+        F.struct(F.array(F.struct(
+            F.lit("urn:crm").alias("system"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("value")
+        )).alias("identifiers")).alias("profile"),
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("payload_digest"),
+    )
+
+
+def incremental_window(spark, sf_dir):
+    changes = feed.read_changes(
+        _order_feed(spark, sf_dir), "1996-01-01", "1997-06-30", "urn:crm"
+    )
+    return changes.select(
+        "resource_id", "local_id", "source_version", F.to_date("last_updated").alias("updated"),
+        "problem",
+    )
+
+
+def feed_latest(spark, sf_dir):
+    """Newest version of every record, by the source's own clock."""
+    rows = _order_feed(spark, sf_dir).where("last_updated is not null").select(
+        F.lit("demo").alias("tenant_id"), F.lit("crm").alias("source_system"),
+        F.col("resource_id").alias("local_id"), "last_updated",
+        F.col("version_id").cast("bigint").alias("arrival"),
+    )
+    return survivorship.latest_snapshot(rows, "last_updated").select(
+        "local_id", "last_updated", F.col("arrival").alias("version_id")
+    )
+
+
+def feed_disorder(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_custkey", F.timestamp_seconds(F.col("o_orderkey") * 60).alias("arrival"),
+        F.col("o_orderdate").alias("updated"), F.to_date("o_orderdate").alias("version"),
+    )
+    return quality.feed_disorder(rows, ["o_custkey"], "arrival", "updated", "version")
+
+
+def _contact_rows(spark, sf_dir) -> DataFrame:
+    """E-mail addresses and telephone numbers in whole documents and conversation turns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item"), "text"
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        .alias("item"), "text",
+    )
+    found = docs.unionByName(turns).select(
+        "item",
+        F.regexp_extract_all("text", F.lit(derived.EMAIL), F.lit(0)).alias("emails"),
+        F.regexp_extract_all("text", F.lit(derived.PHONE), F.lit(0)).alias("phones"),
+    ).where((F.size("emails") > 0) | (F.size("phones") > 0))
+    contacts = F.concat(
+        F.transform("emails", lambda x: F.struct(
+            F.lit("Email").alias("system"), x.alias("value"), F.lit(None).cast("string").alias("use"))),
+        F.transform("phones", lambda x: F.struct(
+            F.lit("Phone").alias("system"), x.alias("value"), F.lit(None).cast("string").alias("use"))),
+    )
+    return found.select("item", normalise.norm_telecoms(contacts).alias("telecoms"))
+
+
+def contacts(spark, sf_dir):
+    return _contact_rows(spark, sf_dir).select("item", F.explode("telecoms").alias("t")).select(
+        "item", "t.system", "t.value"
+    )
+
+
+def contact_blocks(spark, sf_dir):
+    """Blocking keys of the contacts found in texts, and how many texts share each."""
+    rules = replace(derived.demo_config().profile, blocking_rules=("Phone", "Email"))
+    norm = F.struct(F.lit(None).cast("date").alias("birth_date"), F.col("telecoms"))
+    return _contact_rows(spark, sf_dir).select(
+        "item", F.explode(blocking.raw_keys_column(norm, rules)).alias("key")
+    ).groupBy("key").agg(F.count(F.lit(1)).alias("items"))
+
+
+# ---- population, registry and review queries ---------------------------------------------------
+
+
+def profile_population(spark, sf_dir):
+    return quality.profile_population(people(spark, sf_dir))
+
+
+def identifier_collisions(spark, sf_dir):
+    return quality.identifier_collisions(people(spark, sf_dir)).select("value", "records")
+
+
+def common_blocks(spark, sf_dir):
+    index = blocking.candidate_index(identities(spark, sf_dir))
+    return quality.common_blocks(index, 3).select("key_value", "block_size")
+
+
+def match_counters(spark, sf_dir):
+    return quality.match_counters(_population(spark, sf_dir))
+
+
+def candidate_histogram(spark, sf_dir):
+    who = identities(spark, sf_dir)
+    pairs, _ = blocking.candidates(
+        blocking.explode_keys(who.withColumnRenamed("enterprise_id", "query_id"), "query_id"),
+        blocking.candidate_index(who), 500,
+    )
+    return quality.candidate_histogram(pairs)
+
+
+def display_columns(spark, sf_dir):
+    return review.display_columns(people(spark, sf_dir)).select(
+        "enterprise_id", "display_name", "display_initials", "display_nhs", "display_birth_date",
+        "display_gender", "display_address",
+    )
+
+
+def lookup_patients(spark, sf_dir):
+    flat = derived.people_b_flat(spark, sf_dir)
+    queries = flat.select(
+        F.lit("demo").alias("tenant_id"), "k",
+        F.concat(F.lit("q"), F.col("k").cast("string")).alias("query_id"),
+        F.when(F.col("k") % 2 == 0, F.concat_ws(" ", F.substring("nhs", 1, 3), F.substring("nhs", 4, 7)))
+        .alias("identifier"),
+        F.lower("family").alias("family"), F.col("dob").alias("birth_date"),
+    ).drop("k")
+    return search.lookup_patients(identities(spark, sf_dir), queries).select(
+        "query_id", "enterprise_id", "found_by"
+    )
+
+
+def search_canonical(spark, sf_dir):
+    who = identities(spark, sf_dir)
+    found = search.search_canonical(who, family="smith")
+    return search.order_by_default(found, "canonical_patients").select("enterprise_id")
+
+
+def replaced_by_chains(spark, sf_dir):
+    """Customers as identities; two thirds were replaced by the one with half the key."""
+    half = F.floor(F.col("c_custkey") / 2).cast("string")
+    canonical = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.lit("demo").alias("tenant_id"), F.col("c_custkey").cast("string").alias("enterprise_id"),
+        F.when(F.col("c_custkey") % 3 != 0, half).alias("replaced_by"),
+    )
+    return reg.resolve_replaced_by(canonical).select("enterprise_id", "survivor_id")
+
+
+def version_checks(spark, sf_dir):
+    """Mutations of five orders each against stored order versions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    expected = orders.select(
+        F.floor(F.col("o_orderkey") / 5).cast("bigint").alias("mutation_id"),
+        F.col("o_orderkey").alias("entity"),
+        F.when(F.col("o_orderkey") % 17 == 0, 0).otherwise(F.col("o_orderkey") % 4).alias("expected_version"),
+    )
+    current = orders.where("o_orderkey % 4 <> 0").select(
+        F.col("o_orderkey").alias("entity"), (F.col("o_orderkey") % 4).alias("version")
+    )
+    return reg.check_versions(expected, current, ["entity"])
+
+
+def _separate_registry(spark, sf_dir) -> reg.Registry:
+    """Every source row as an identity of its own."""
+    sources = people(spark, sf_dir).drop("norm", "blocking_keys", "k", "source_is_authoritative")
+    parts = reg.assemble(sources, derived.demo_config(), F.to_timestamp(F.lit(LOADED)))
+    return reg.Registry(spark, {
+        name: staged(spark, sf_dir, f"separate-{name}", lambda df=df: df) for name, df in parts.items()
+    })
+
+
+def link_people(spark, sf_dir):
+    """Retire every billing identity into the identity of its customer."""
+    registry = _separate_registry(spark, sf_dir)
+    pairs = people(spark, sf_dir).where("source_system = 'billing'").select(
+        "tenant_id", F.col("enterprise_id").alias("subject_id"),
+        F.concat(F.lit("crm-"), F.col("k").cast("string")).alias("candidate_id"),
+    )
+    linked = review.link(registry, pairs, derived.demo_config(), NOW)
+    return linked["canonical_patients"].select(
+        "enterprise_id", "is_active", "version", "replaced_by", "survivorship_trust",
+        F.array_join(F.transform("profile.names", lambda n: F.concat_ws(" ", n["given"][0], n["family"])), ";")
+        .alias("names"),
+    )
+
+
+def split_people(spark, sf_dir):
+    """Split the billing row off every linked identity of a customer divisible by nine."""
+    registry = _linked_registry(spark, sf_dir)
+    asked = people(spark, sf_dir).where("source_system = 'billing' and k % 9 = 0 and k % 50 <> 7").select(
+        "tenant_id", F.concat(F.lit("P"), F.col("k").cast("string")).alias("subject_id"),
+        F.concat(F.lit("N"), F.col("k").cast("string")).alias("candidate_id"),
+        F.lit("r").alias("id"), F.array(F.struct("source_system", "local_id")).alias("sources_to_move"),
+    )
+    made = review.split(registry, asked, derived.demo_config(), NOW)
+    touched = made["canonical_patients"].join(
+        asked.select(F.explode(F.array("subject_id", "candidate_id")).alias("enterprise_id")),
+        "enterprise_id", "left_semi",
+    )
+    owned = made["canonical_sources"].groupBy("enterprise_id").agg(
+        F.array_join(F.sort_array(F.collect_list("local_id")), ",").alias("sources")
+    )
+    return touched.join(owned, "enterprise_id").select(
+        "enterprise_id", "version", "survivorship_trust", "sources",
+        F.col("profile.names")[0]["family"].alias("family"), F.size("profile.names").alias("names"),
+    )
+
+
+def review_guidance(spark, sf_dir):
+    who = identities(spark, sf_dir)
+    registry = reg.Registry(spark, {"canonical_patients": who.withColumn("version", F.lit(1))})
+    reviews = staged(spark, sf_dir, "reviews", lambda: maintenance.reconciliation_reviews(
+        registry, derived.demo_config(), NOW)[0])
+    return review.review_guidance(reviews, who).select(
+        "subject_id", "candidate_id", "agreements", "conflicts", "missing", "recommendation"
+    )
+
+
+def outdated_reviews(spark, sf_dir):
+    """Orders as reviews of two customers; customers divisible by seven changed since."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.lit("demo").alias("tenant_id"), F.col("c_custkey").cast("string").alias("enterprise_id"),
+        F.when(F.col("c_custkey") % 7 == 0, 2).otherwise(1).cast("bigint").alias("version"),
+        (F.col("c_custkey") % 11 != 0).alias("is_active"),
+    )
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    reviews = orders.select(
+        F.lit("demo").alias("tenant_id"), F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_custkey").cast("string").alias("subject_id"),
+        F.floor(F.col("o_custkey") / 2).cast("string").alias("candidate_id"),
+        F.when(F.col("o_orderstatus") == "O", "Pending")
+        .when(F.col("o_orderstatus") == "P", "AwaitingSecondApproval").otherwise("Linked").alias("status"),
+        F.when(F.col("o_orderkey") % 10 == 0, "Split").otherwise("PotentialDuplicate").alias("kind"),
+        F.lit(1).cast("bigint").alias("subject_version"),
+        F.lit(1).cast("bigint").alias("candidate_version"),
+    )
+    registry = reg.Registry(spark, {"canonical_patients": customers, "review_cases": reviews})
+    return review.outdated_reviews(registry).drop("tenant_id")
+
+
+def review_workload(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.when(F.col("o_orderstatus") == "O", "Pending")
+        .when(F.col("o_orderstatus") == "P", "AwaitingSecondApproval").otherwise("Linked").alias("status"),
+        F.lit("PotentialDuplicate").alias("kind"), F.col("o_orderdate").alias("created_at"),
+    )
+    return quality.review_workload(orders, F.to_date(F.lit("2002-01-01")))
+
+
+def upsert_people(spark, sf_dir):
+    """Billing rows, and new versions of every tenth customer, against the loaded customers."""
+    cfg = derived.demo_config()
+    everyone = people(spark, sf_dir)
+    loaded = everyone.where("source_system = 'crm'").drop(
+        "norm", "blocking_keys", "k", "source_is_authoritative"
+    )
+    parts = reg.assemble(loaded, cfg, F.to_timestamp(F.lit(LOADED)))
+    registry = reg.Registry(spark, {
+        name: staged(spark, sf_dir, f"loaded-{name}", lambda df=df: df) for name, df in parts.items()
+    })
+    incoming = everyone.where("source_system = 'billing' or k % 10 = 0").select(
+        "tenant_id", "source_system", "local_id", "profile",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k")).alias("arrival"),
+    )
+    made = upsert(registry, incoming, cfg, NOW).registry
+    reviews = made["review_cases"].groupBy("subject_id").agg(F.count(F.lit(1)).alias("reviews"))
+    return made["source_patients"].select("source_system", "local_id", "enterprise_id", "version").join(
+        made["canonical_patients"].select("enterprise_id", F.col("version").alias("identity_version")),
+        "enterprise_id",
+    ).join(reviews.withColumnRenamed("subject_id", "enterprise_id"), "enterprise_id", "left").fillna(
+        0, ["reviews"]
+    )
+
+
+# ---- exports ---------------------------------------------------------------------------------
+
+
+def fhir_round_trip(spark, sf_dir):
+    """Source rows written as FHIR JSON and read back."""
+    rows = export.to_fhir_patients(people(spark, sf_dir), "source")
+    back = fhir.parse_json(rows.select("value"), trusted=True)
+    p = F.col("profile")
+    return back.select(
+        "resource_id", "version_id", F.size(p["identifiers"]).alias("identifiers"),
+        p["names"][0]["family"].alias("family"), p["names"][0]["given"][0].alias("given"),
+        p["birth_date"].alias("birth_date"), p["gender"].alias("gender"),
+        F.array_join(F.transform(p["telecoms"], lambda t: t["value"]), "|").alias("telecoms"),
+        p["addresses"][0]["postal_code"].alias("postcode"), F.size(p["tags"]).alias("tags"),
+    )
+
+
+def fhir_issues(spark, sf_dir):
+    """Validation issues of customers whose number or date was spoilt on the way."""
+    flat = derived.people_a_flat(spark, sf_dir)
+    documents = flat.select(F.to_json(F.struct(
+        F.lit("Patient").alias("resourceType"), F.col("local_id").alias("id"),
+        F.array(F.struct(
+            F.lit(derived.NHS_SYSTEM).alias("system"),
+            F.when(F.col("k") % 5 == 0, F.translate("nhs", "0123456789", "1234567890"))
+            .otherwise(F.col("nhs")).alias("value"),
+        )).alias("identifier"),
+        F.when(F.col("k") % 8 == 0, F.date_format("dob", "yyyy-MM"))
+        .otherwise(F.date_format("dob", "yyyy-MM-dd")).alias("birthDate"),
+    )).alias("value"))
+    return fhir.validate_patients(fhir.parse_json(documents)).select("resource_id", "code", "expression")
+
+
+def match_bundles(spark, sf_dir):
+    cfg = derived.demo_config()
+    canonical = people(spark, sf_dir).where("source_system = 'crm'").select(
+        "tenant_id", "enterprise_id", "profile", "blocking_keys", F.lit(True).alias("is_active"),
+        F.lit(1).alias("version"), F.to_timestamp(F.lit(LOADED)).alias("last_updated"),
+        F.lit(None).cast("string").alias("replaced_by"),
+    )
+    queries = derived.with_profile(derived.people_b_flat(spark, sf_dir)).select(
+        "tenant_id", F.concat_ws("-", "source_system", "local_id").alias("query_id"), "profile"
+    )
+    matches, _ = matching.match(queries, canonical, cfg)
+    bundles = export.to_match_bundles(matches, canonical, NOW)
+    return bundles.select(
+        "query_id", F.get_json_object("value", "$.total").alias("total"),
+        F.get_json_object("value", "$.entry[0].resource.id").alias("best"),
+        F.get_json_object("value", "$.entry[0].resource.extension[0].valueCode").alias("grade"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -470,5 +861,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         find_duplicates, golden_record, survivor_rank, label_checks, blocking_recall,
         eval_metrics, field_discrimination, misclassified, label_split, fs_fit, calibrate,
         reindex_validate, rebuild_changes, rebuild_warnings, reconcile_reviews,
+        adt_parse, adt_latest, adt_acks, replay_split, run_buckets, incremental_window, feed_latest,
+        feed_disorder, contacts, contact_blocks, profile_population, identifier_collisions,
+        common_blocks, match_counters, candidate_histogram, display_columns, lookup_patients,
+        search_canonical, replaced_by_chains, version_checks, link_people, split_people,
+        review_guidance, outdated_reviews, review_workload, upsert_people, fhir_round_trip,
+        fhir_issues, match_bundles,
     )
 }

@@ -91,6 +91,28 @@ _DAMAGE = {
 }
 
 
+# The message of an event, over ``events``. chr(13) ends a segment.
+_TRIGGER = ("case event_type when 'signup' then 'A28' when 'view' then 'A08' when 'click' then 'A31' "
+            "when 'purchase' then 'A04' else 'A40' end")
+_PERSON_FAMILY = _pick("Smith,Khan,Hughes\\T\\Co,García", "user_id")
+_PERSON_GIVEN = _pick("Alex,Robert,Samira", "user_id")
+ADT_TEXT = (
+    "concat('MSH|^~\\&|APP|FAC|MPI|X|20240101||ADT^', " + _TRIGGER
+    + ", '|', cast(event_id as string), '|P|', case when event_id % 40 = 0 then '2.7' else '2.5.1' end, chr(13), "
+    "'PID|1||U', cast(user_id as string), '^^^HOSP^MR||', " + _PERSON_FAMILY + ", '^', "
+    + _PERSON_GIVEN + ", '||19', cast(50 + user_id % 50 as string), '0', cast(1 + user_id % 9 as string), "
+    "case when event_id % 90 = 7 then '99' else '15' end, '|', "
+    "case when user_id % 2 = 0 then 'F' else 'M' end, '|||1 High Street^^Leeds^^LS1 1AA||0113 496 ', "
+    "lpad(cast(user_id % 10000 as string), 4, '0'), "
+    "case when event_type = 'error' then concat(chr(13), 'MRG|U', cast(user_id + 1 as string), '^^^HOSP^MR') "
+    "else '' end)"
+)
+
+# Contact patterns that Java and RE2 read alike.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"\+?[0-9][0-9 ()-]{7,14}[0-9]"
+
+
 def _select(layer: dict[str, str], extra: list[str] = ()) -> list[str]:
     return [f"{expr} AS {name}" for name, expr in layer.items()] + list(extra)
 
