@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import MatchingProfile, Secret, TenantConfig
 from kinweave.functions.hashing import hmac_sha256
+from kinweave.functions.once import computed_once
 
 KEY = ["tenant_id", "key_version", "key_value"]
 
@@ -68,9 +69,9 @@ def blocking_keys(df: DataFrame, cfg: TenantConfig, output: str = "blocking_keys
     """Hash every raw key under every secret version."""
     raw = raw_keys_column(F.col("norm"), cfg.profile)
     hashed = [_hashed(F.col("_raw"), item) for item in cfg.secrets]
-    return (
-        df.withColumn("_raw", raw).withColumn(output, reduce(F.concat, hashed)).drop("_raw")
-    )
+    return computed_once(
+        computed_once(df, {"_raw": raw}), {output: reduce(F.concat, hashed)}
+    ).drop("_raw")
 
 
 def split_blockable(df: DataFrame) -> tuple[DataFrame, DataFrame]:

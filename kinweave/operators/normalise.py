@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import GOLD_TAG, NHS_SYSTEM, TRACED_TAG, MatchingProfile, TenantConfig
 from kinweave.functions import text as t
+from kinweave.functions.once import computed_once
 
 
 def _has_tag(tags: Column, code: str) -> Column:
@@ -146,7 +147,7 @@ def norm_column(profile: Column) -> Column:
 
 def normalise(df: DataFrame) -> DataFrame:
     """Add ``norm``: the standardised profile that blocking and comparison read."""
-    made = df.withColumn("norm", norm_column(F.col("profile")))
+    made = computed_once(df, {"norm": norm_column(F.col("profile"))})
     return made.withColumn(
         "norm", F.col("norm").withField("trusted", _trusted(F.col("norm.identifiers")))
     )

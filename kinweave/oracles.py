@@ -376,6 +376,18 @@ def _uuid(digest: str) -> str:
     ])
 
 
+def _uuid5(digest: str) -> str:
+    def b(i: int) -> str:
+        return f"substr({digest}, {2 * i + 1}, 2)"
+
+    eight = (f"substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr({digest}, 17, 1))::INT, 1)"
+             f" || substr({digest}, 18, 1)")
+    return " || ".join([
+        b(0), b(1), b(2), b(3), "'-'", b(4), b(5), "'-'", f"'5' || substr({digest}, 14, 1)", b(7),
+        "'-'", eight, b(9), "'-'", *(b(i) for i in range(10, 16)),
+    ])
+
+
 ORACLES: dict[str, str] = {
     "norm_people": _with() + """
 SELECT enterprise_id, family_n AS family, given_n AS given, tokens, postcode_n AS postcode, sector,
@@ -539,3 +551,198 @@ SELECT {_uuid('d')} AS id, l AS subject_id, r AS candidate_id, round(s, 6) AS sc
 FROM (SELECT *, sha256('demo' || chr(0) || l || chr(0) || '1' || chr(0) || r || chr(0) || '1' || chr(0)
     || 'uk-default-v1') AS d FROM scored WHERE grade IN ('Probable', 'Certain'))""",
 }
+
+# ---- messages and feeds ---------------------------------------------------------------------------
+
+_EVENTS = """
+e AS (
+  SELECT *, CASE event_type WHEN 'signup' THEN 'A28' WHEN 'view' THEN 'A08' WHEN 'click' THEN 'A31'
+      WHEN 'purchase' THEN 'A04' ELSE 'A40' END AS trigger,
+    CASE WHEN event_id % 40 = 0 THEN 'HL7 version ''2.7'' is not supported.'
+      WHEN event_id % 90 = 7 THEN 'PID-7 contains an invalid birth date.' END AS error
+  FROM events
+)"""
+
+_REVIEW_STATES = """CASE o_orderstatus WHEN 'O' THEN 'Pending' WHEN 'P' THEN 'AwaitingSecondApproval' ELSE 'Linked' END"""
+
+_CONTACTS = """
+texts AS (
+  SELECT 'd' || doc_id AS item, text FROM documents
+  UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations
+),
+found AS (
+  SELECT DISTINCT item, 'Email' AS system, upper(trim(x)) AS value
+  FROM (SELECT item, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS x FROM texts)
+  UNION ALL
+  SELECT DISTINCT item, 'Phone', CASE WHEN x LIKE '+%' THEN '+' ELSE '' END || regexp_replace(x, '[^0-9]', '', 'g')
+  FROM (SELECT item, unnest(regexp_extract_all(text, '\\+?[0-9][0-9 ()-]{7,14}[0-9]')) AS x FROM texts)
+)"""
+
+# Similarity states of a probable pair for reviewers.
+def _state(sim: str, missing: str) -> str:
+    return (f"CASE WHEN {missing} THEN 'm' WHEN {sim} >= 0.95 THEN 'a' WHEN {sim} >= 0.6 THEN 'a' "
+            f"ELSE 'c' END")
+
+
+_UPSERT = """
+incoming AS (
+  SELECT *, 'billing-B' || k AS made FROM p WHERE source_system = 'billing'
+),
+pairs AS (
+  SELECT DISTINCT q.enterprise_id AS l, c.enterprise_id AS r
+  FROM raw q JOIN raw c ON q.key = c.key AND q.enterprise_id <> c.enterprise_id
+  JOIN p pq ON pq.enterprise_id = q.enterprise_id JOIN p pc ON pc.enterprise_id = c.enterprise_id
+  WHERE q.source_system = 'billing' AND (c.source_system = 'crm' OR pc.k < pq.k)
+)"""
+
+_IDENT = ("CASE WHEN source_system = 'crm' THEN enterprise_id ELSE (SELECT "
+          + _uuid5("sha256('enterprise' || chr(0) || 'demo' || chr(0) || 'billing' || chr(0) || local_id)")
+          + ") END")
+
+ORACLES.update({
+    "adt_parse": "WITH " + _EVENTS.strip() + """
+SELECT event_id, trigger, event_id::VARCHAR AS control_id, 'U' || user_id AS local_id,
+  CASE WHEN trigger = 'A40' THEN 'U' || (user_id + 1) END AS previous_local_id, error,
+  ['Smith','Khan','Hughes&Co','García'][(user_id % 4 + 1)::INT] AS family,
+  ['Alex','Robert','Samira'][(user_id % 3 + 1)::INT] AS given,
+  CASE WHEN event_id % 90 <> 7 THEN make_date((1950 + user_id % 50)::INT, (1 + user_id % 9)::INT, 15) END AS birth_date,
+  CASE WHEN user_id % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
+  '0113 496 ' || lpad((user_id % 10000)::VARCHAR, 4, '0') AS phone,
+  'urn:kinweave:hl7v2:HOSP' AS id_system FROM e""",
+    "adt_latest": "WITH " + _EVENTS.strip() + """
+SELECT 'U' || user_id AS local_id, arg_max(event_id, ts)::VARCHAR AS control_id, arg_max(trigger, ts) AS trigger,
+  max(ts) AS arrival FROM e WHERE error IS NULL GROUP BY user_id""",
+    "adt_acks": "WITH " + _EVENTS.strip() + """
+SELECT event_id, 'MSA|' || CASE WHEN error IS NULL THEN 'AA' ELSE 'AR' END || '|' || event_id || '|'
+    || coalesce(error, 'Message committed.') AS msa,
+  'ERR|||' || CASE WHEN error IS NULL THEN '0' ELSE '200' END || '^Application internal error^HL70357|'
+    || CASE WHEN error IS NULL THEN 'I' ELSE 'E' END || '|||' || coalesce(error, 'Message committed.') AS err
+FROM e""",
+    "replay_split": """
+SELECT event_id, CASE WHEN rn = 1 THEN 'fresh' WHEN d = first_d THEN 'replay' ELSE 'conflict' END AS receipt_state
+FROM (SELECT event_id, user_id % 3 AS d, row_number() OVER w AS rn, first_value(user_id % 3) OVER w AS first_d
+  FROM events WINDOW w AS (PARTITION BY event_id % 700 ORDER BY ts, event_id))""",
+    "run_buckets": """
+SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS events
+FROM events GROUP BY 1""",
+    "incremental_window": """
+SELECT o_custkey::VARCHAR AS resource_id, 'C' || o_custkey AS local_id, o_orderkey::VARCHAR AS source_version,
+  updated::DATE AS updated, NULL::VARCHAR AS problem
+FROM (SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate ELSE TIMESTAMP '1997-06-30' END AS updated FROM orders)
+WHERE updated BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30'""",
+    "feed_latest": """
+SELECT o_custkey::VARCHAR AS local_id, o_orderdate AS last_updated, o_orderkey AS version_id
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders WHERE o_orderkey % 50 <> 0) WHERE rn = 1""",
+    "feed_disorder": """
+SELECT (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate::DATE))::BIGINT
+    AS repeated_versions,
+  count(*) AS rows, count(*) FILTER (o_orderdate < newest) AS out_of_order
+FROM (SELECT o_orderdate, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM orders)""",
+    "contacts": "WITH " + _CONTACTS.strip() + " SELECT item, system, value FROM found",
+    "contact_blocks": "WITH " + _CONTACTS.strip() + """
+SELECT 'TEL|' || system || '|' || value AS key, count(*) AS items FROM found GROUP BY 1""",
+    "profile_population": _with() + """
+SELECT source_system, count(*) AS total, 0::BIGINT AS malformed_ids, count(nhs) AS nhs_valid,
+  0::BIGINT AS nhs_invalid, count(*) FILTER (nhs IS NOT NULL AND trusted) AS nhs_traced,
+  0::BIGINT AS missing_name, count(*) FILTER (dob IS NULL) AS missing_birth_date, 0::BIGINT AS missing_address,
+  0::BIGINT AS missing_postcode, count(*) FILTER (phone IS NULL AND email IS NULL) AS missing_telecom
+FROM p GROUP BY source_system""",
+    "identifier_collisions": _with() + """
+SELECT nhs AS value, count(*) AS records FROM p WHERE nhs IS NOT NULL GROUP BY nhs HAVING count(*) > 1""",
+    "common_blocks": _with() + f"""
+SELECT {_hmac('key')} AS key_value, count(*) AS block_size FROM raw GROUP BY key HAVING count(*) > 3""",
+    "match_counters": _with(_POPULATION, _evidence()) + """
+SELECT grade, count(*) AS matches, count(*) FILTER (hard) AS conflicts FROM scored GROUP BY grade""",
+    "candidate_histogram": _with() + """
+SELECT n AS candidates, count(*) AS queries FROM (
+  SELECT a.enterprise_id, count(DISTINCT b.enterprise_id) AS n FROM raw a JOIN raw b ON a.key = b.key
+  GROUP BY a.enterprise_id) GROUP BY n""",
+    "display_columns": _with() + """
+SELECT enterprise_id, given || ' ' || family AS display_name,
+  upper(substr(given, 1, 1)) || upper(substr(family, 1, 1)) AS display_initials,
+  coalesce(substr(nhs, 1, 3) || ' ' || substr(nhs, 4, 3) || ' ' || substr(nhs, 7, 4), 'Not recorded') AS display_nhs,
+  coalesce(strftime(dob, '%d %b %Y'), 'Not recorded') AS display_birth_date,
+  CASE WHEN gender = 'Unknown' THEN 'Not recorded' ELSE gender END AS display_gender,
+  line || ', ' || city || ', ' || postcode AS display_address FROM p""",
+    "lookup_patients": _with() + """
+SELECT 'q' || q.k AS query_id, c.enterprise_id, 'nhs-number' AS found_by
+FROM p q JOIN p c ON c.nhs = q.nhs WHERE q.source_system = 'billing' AND q.k % 2 = 0
+UNION ALL
+SELECT 'q' || q.k, c.enterprise_id, 'name-and-birth-date'
+FROM p q JOIN p c ON upper(c.family) = upper(q.family) AND c.dob = q.dob
+WHERE q.source_system = 'billing' AND (q.k % 2 = 1 OR q.nhs IS NULL)""",
+    "search_canonical": _with() + "SELECT enterprise_id FROM p WHERE family = 'Smith'",
+    "replaced_by_chains": """
+WITH RECURSIVE walk AS (
+  SELECT c_custkey AS id, c_custkey AS here FROM customer
+  UNION ALL SELECT id, here // 2 FROM walk WHERE here % 3 <> 0
+)
+SELECT id::VARCHAR AS enterprise_id, min(here)::VARCHAR AS survivor_id FROM walk GROUP BY id""",
+    "version_checks": """
+SELECT o_orderkey // 5 AS mutation_id, bool_and(held) AS accepted, count(*) FILTER (NOT held) AS conflicts
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey % 4 END = o_orderkey % 4 AS held FROM orders)
+GROUP BY 1""",
+    "link_people": _with() + """
+SELECT p.enterprise_id, p.source_system = 'crm' AS is_active,
+  (CASE WHEN p.source_system = 'billing' OR b.k IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS version,
+  CASE WHEN p.source_system = 'billing' THEN 'crm-' || p.k END AS replaced_by,
+  CASE WHEN p.source_system = 'crm' THEN 100 ELSE 50 END AS survivorship_trust,
+  p.given || ' ' || p.family || CASE WHEN b.k IS NOT NULL AND (b.given <> p.given OR b.family <> p.family)
+    THEN ';' || b.given || ' ' || b.family ELSE '' END AS names
+FROM p LEFT JOIN p b ON b.source_system = 'billing' AND b.k = p.k AND p.source_system = 'crm'""",
+    "split_people": _with() + """
+SELECT (CASE WHEN source_system = 'crm' THEN 'P' ELSE 'N' END) || k AS enterprise_id,
+  (CASE WHEN source_system = 'crm' THEN 2 ELSE 1 END)::BIGINT AS version,
+  CASE WHEN source_system = 'crm' THEN 100 ELSE 0 END AS survivorship_trust, local_id AS sources, family,
+  1 AS names FROM p WHERE k % 9 = 0 AND k % 50 <> 7""",
+    "review_guidance": _with(_POPULATION, _evidence()) + f"""
+SELECT l AS subject_id, r AS candidate_id, len(list_filter(st, lambda x: x = 'a')) AS agreements,
+  len(list_filter(st, lambda x: x = 'c')) AS conflicts, len(list_filter(st, lambda x: x = 'm')) AS missing,
+  CASE WHEN hard OR st[1] = 'c' THEN 'Pause and verify identifiers' WHEN grade = 'Certain' THEN 'Strong link signal'
+    WHEN len(list_filter(st, lambda x: x = 'c')) = 0 THEN 'Link is supported'
+    ELSE 'Review conflicting fields' END AS recommendation
+FROM (SELECT *, [CASE WHEN lnhs IS NULL OR rnhs IS NULL THEN 'm' WHEN lnhs = rnhs THEN 'a' ELSE 'c' END,
+    {_state('family_sim', 'false')}, {_state('given_sim', 'false')},
+    {_state('dob_sim', 'ld IS NULL OR rd IS NULL')}, {_state('address_sim', 'false')},
+    {_state('telecom_sim', 'tel_missing')}, {_state('gender_sim', 'gen_missing')}] AS st
+  FROM scored WHERE grade IN ('Probable', 'Certain'))""",
+    "outdated_reviews": f"""
+SELECT id, subject_id::VARCHAR AS subject_id, candidate_id::VARCHAR AS candidate_id, sc AS subject_changed,
+  cc AS candidate_changed
+FROM (SELECT o_orderkey::VARCHAR AS id, o_custkey AS subject_id, o_custkey // 2 AS candidate_id,
+    {_REVIEW_STATES} AS status, o_custkey % 7 = 0 OR o_custkey % 11 = 0 AS sc,
+    o_orderkey % 10 <> 0 AND ((o_custkey // 2) % 7 = 0 OR (o_custkey // 2) % 11 = 0) AS cc FROM orders)
+WHERE status <> 'Linked' AND (sc OR cc)""",
+    "review_workload": f"""
+SELECT 'PotentialDuplicate' AS kind, status, age AS age_weeks, count(*) AS reviews
+FROM (SELECT {_REVIEW_STATES} AS status,
+    (floor((DATE '2002-01-01' - o_orderdate::DATE) / 7))::BIGINT AS age FROM orders)
+WHERE status <> 'Linked' GROUP BY ALL""",
+    "upsert_people": _with(_UPSERT, _evidence()) + f"""
+SELECT source_system, local_id, {_IDENT} AS enterprise_id,
+  (CASE WHEN source_system = 'crm' AND k % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS version,
+  (CASE WHEN source_system = 'crm' AND k % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS identity_version,
+  coalesce(n, 0)::BIGINT AS reviews
+FROM p LEFT JOIN (SELECT l, count(*) AS n FROM scored WHERE grade = 'Probable' GROUP BY l) ON l = enterprise_id
+WHERE source_system = 'crm' OR enterprise_id IN (SELECT enterprise_id FROM raw)""",
+    "fhir_round_trip": _with() + f"""
+SELECT 'src-' || lower(substr({_hmac("'demo' || chr(10) || source_system || chr(10) || local_id")}, 1, 32)) AS resource_id,
+  '1' AS version_id, 1 + (nhs IS NOT NULL)::INT AS identifiers, family, given, dob AS birth_date, gender,
+  concat_ws('|', phone, email) AS telecoms, postcode, CASE WHEN trusted THEN 2 ELSE 0 END AS tags FROM p""",
+    "fhir_issues": f"""
+WITH a AS (SELECT * FROM ({people_a_sql()})),
+bad AS (
+  SELECT local_id, (11 - list_sum(list_transform(range(1, 10),
+      lambda i: substr(shifted, i, 1)::INT * (11 - i)))::INT % 11) % 11 AS c, shifted
+  FROM (SELECT local_id, CASE WHEN k % 5 = 0 THEN translate(nhs, '0123456789', '1234567890') ELSE nhs END AS shifted FROM a)
+)
+SELECT local_id AS resource_id, 'value' AS code, 'Patient.identifier' AS expression FROM bad
+WHERE shifted IS NULL OR c = 10 OR c <> right(shifted, 1)::INT
+UNION ALL SELECT local_id, 'value', 'Patient.birthDate' FROM a WHERE k % 8 = 0""",
+    "match_bundles": _with(_MATCH, _evidence(*_MATCH_TRUST)) + """
+SELECT l AS query_id, count(*)::VARCHAR AS total, arg_min(r, rank) AS best, lower(arg_min(grade, rank)) AS grade
+FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) AS rank FROM scored WHERE grade <> 'None')
+WHERE rank <= 10 GROUP BY l""",
+})

@@ -94,10 +94,10 @@ _DAMAGE = {
 # The message of an event, over ``events``. chr(13) ends a segment.
 _TRIGGER = ("case event_type when 'signup' then 'A28' when 'view' then 'A08' when 'click' then 'A31' "
             "when 'purchase' then 'A04' else 'A40' end")
-_PERSON_FAMILY = _pick("Smith,Khan,Hughes\\T\\Co,García", "user_id")
+_PERSON_FAMILY = "replace(" + _pick("Smith,Khan,Hughes@T@Co,García", "user_id") + ", '@', chr(92))"
 _PERSON_GIVEN = _pick("Alex,Robert,Samira", "user_id")
 ADT_TEXT = (
-    "concat('MSH|^~\\&|APP|FAC|MPI|X|20240101||ADT^', " + _TRIGGER
+    "concat('MSH|^~', chr(92), '&|APP|FAC|MPI|X|20240101||ADT^', " + _TRIGGER
     + ", '|', cast(event_id as string), '|P|', case when event_id % 40 = 0 then '2.7' else '2.5.1' end, chr(13), "
     "'PID|1||U', cast(user_id as string), '^^^HOSP^MR||', " + _PERSON_FAMILY + ", '^', "
     + _PERSON_GIVEN + ", '||19', cast(50 + user_id % 50 as string), '0', cast(1 + user_id % 9 as string), "
