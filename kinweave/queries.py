@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.config import ProbabilityModel
@@ -20,7 +20,6 @@ from kinweave.schemas import EVIDENCE_FIELDS
 from kinweave.session import stage
 from kinweave.sources import derived, export, feed, fhir, hl7
 
-NOW = F.to_timestamp(F.lit("2024-03-01 00:00:00"))
 LOADED = "2024-01-15 00:00:00"
 _staged: dict[tuple, DataFrame] = {}
 
@@ -38,6 +37,10 @@ MODEL = ProbabilityModel(
 )
 
 
+def now() -> Column:
+    return F.to_timestamp(F.lit("2024-03-01 00:00:00"))
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table written once per session; several queries read columns of it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -438,7 +441,7 @@ def reindex_validate(spark, sf_dir):
 
 def rebuild_changes(spark, sf_dir):
     registry = _linked_registry(spark, sf_dir)
-    parts = maintenance.rebuild_changes(registry, derived.demo_config(), NOW)
+    parts = maintenance.rebuild_changes(registry, derived.demo_config(), now())
     changed = parts["sources"].groupBy("enterprise_id").agg(
         F.count_if("source_changed").alias("sources_changed")
     )
@@ -457,7 +460,7 @@ def reconcile_reviews(spark, sf_dir):
     registry = reg.Registry(spark, {
         "canonical_patients": identities(spark, sf_dir).withColumn("version", F.lit(1))
     })
-    reviews, _ = maintenance.reconciliation_reviews(registry, derived.demo_config(), NOW)
+    reviews, _ = maintenance.reconciliation_reviews(registry, derived.demo_config(), now())
     return reviews.select(
         "id", "subject_id", "candidate_id", F.round("score", 6).alias("score"), "grade",
         "required_approvals", "policy_locked",
@@ -502,7 +505,7 @@ def adt_acks(spark, sf_dir):
         "ack_code": F.when(F.col("error").isNull(), "AA").otherwise("AR"),
         "diagnostic": F.coalesce("error", F.lit("Message committed.")),
     })
-    return hl7.adt_acks(coded, NOW).select(
+    return hl7.adt_acks(coded, now()).select(
         "event_id", F.split("ack", "\r")[1].alias("msa"), F.split("ack", "\r")[2].alias("err")
     )
 
@@ -704,7 +707,7 @@ def link_people(spark, sf_dir):
         "tenant_id", F.col("enterprise_id").alias("subject_id"),
         F.concat(F.lit("crm-"), F.col("k").cast("string")).alias("candidate_id"),
     )
-    linked = review.link(registry, pairs, derived.demo_config(), NOW)
+    linked = review.link(registry, pairs, derived.demo_config(), now())
     return linked["canonical_patients"].select(
         "enterprise_id", "is_active", "version", "replaced_by", "survivorship_trust",
         F.array_join(F.transform("profile.names", lambda n: F.concat_ws(" ", n["given"][0], n["family"])), ";")
@@ -720,7 +723,7 @@ def split_people(spark, sf_dir):
         F.concat(F.lit("N"), F.col("k").cast("string")).alias("candidate_id"),
         F.lit("r").alias("id"), F.array(F.struct("source_system", "local_id")).alias("sources_to_move"),
     )
-    made = review.split(registry, asked, derived.demo_config(), NOW)
+    made = review.split(registry, asked, derived.demo_config(), now())
     touched = made["canonical_patients"].join(
         asked.select(F.explode(F.array("subject_id", "candidate_id")).alias("enterprise_id")),
         "enterprise_id", "left_semi",
@@ -738,7 +741,7 @@ def review_guidance(spark, sf_dir):
     who = identities(spark, sf_dir)
     registry = reg.Registry(spark, {"canonical_patients": who.withColumn("version", F.lit(1))})
     reviews = staged(spark, sf_dir, "reviews", lambda: maintenance.reconciliation_reviews(
-        registry, derived.demo_config(), NOW)[0])
+        registry, derived.demo_config(), now())[0])
     return review.review_guidance(reviews, who).select(
         "subject_id", "candidate_id", "agreements", "conflicts", "missing", "recommendation"
     )
@@ -790,7 +793,7 @@ def upsert_people(spark, sf_dir):
         "tenant_id", "source_system", "local_id", "profile",
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k")).alias("arrival"),
     )
-    made = upsert(registry, incoming, cfg, NOW).registry
+    made = upsert(registry, incoming, cfg, now()).registry
     reviews = made["review_cases"].groupBy("subject_id").agg(F.count(F.lit(1)).alias("reviews"))
     return made["source_patients"].select("source_system", "local_id", "enterprise_id", "version").join(
         made["canonical_patients"].select("enterprise_id", F.col("version").alias("identity_version")),
@@ -844,7 +847,7 @@ def match_bundles(spark, sf_dir):
         "tenant_id", F.concat_ws("-", "source_system", "local_id").alias("query_id"), "profile"
     )
     matches, _ = matching.match(queries, canonical, cfg)
-    bundles = export.to_match_bundles(matches, canonical, NOW)
+    bundles = export.to_match_bundles(matches, canonical, now())
     return bundles.select(
         "query_id", F.get_json_object("value", "$.total").alias("total"),
         F.get_json_object("value", "$.entry[0].resource.id").alias("best"),
