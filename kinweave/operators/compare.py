@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import Comparators, MatchingProfile
 from kinweave.functions import similarity as sim
+from kinweave.functions.once import computed_once
 from kinweave.functions.text import phonetic
 
 # Names reported for the comparators.
@@ -37,38 +38,39 @@ def _later_must_beat(best: Column, new: Column) -> Column:
     return F.when(new["sim"] > best["sim"], new).otherwise(best)
 
 
+def _cross(lefts: Column, rights: Column, pair) -> Column:
+    """All pairs of two short arrays. One value on each side, the usual case, needs no lambda."""
+    both_single = (F.size(lefts) == 1) & (F.size(rights) == 1)
+    crossed = F.flatten(F.transform(lefts, lambda a: F.transform(rights, lambda b: pair(a, b))))
+    return F.when(both_single, F.array(pair(F.get(lefts, F.lit(0)), F.get(rights, F.lit(0))))).otherwise(
+        crossed
+    )
+
+
 def _family_pairs(left: Column, right: Column) -> Column:
-    lefts = F.filter(left["names"], lambda n: n["family"] != "")
-    rights = F.filter(right["names"], lambda n: n["family"] != "")
-    return F.flatten(
-        F.transform(
-            lefts,
-            lambda a: F.transform(
-                rights,
-                lambda b: F.struct(
-                    a["family"].alias("l"), b["family"].alias("r"),
-                    a["phonetic"].alias("lp"), b["phonetic"].alias("rp"),
-                ),
-            ),
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(
+            a["family"].alias("l"), b["family"].alias("r"),
+            a["phonetic"].alias("lp"), b["phonetic"].alias("rp"),
         )
+
+    return F.filter(
+        _cross(left["names"], right["names"], pair), lambda p: (p["l"] != "") & (p["r"] != "")
     )
 
 
 def _given_pairs(left: Column, right: Column, with_codes: bool) -> Column:
-    lefts = F.flatten(F.transform(left["names"], lambda n: n["given"]))
-    rights = F.flatten(F.transform(right["names"], lambda n: n["given"]))
     code = phonetic if with_codes else (lambda c: F.lit(""))
-    return F.flatten(
-        F.transform(
-            lefts,
-            lambda a: F.transform(
-                rights,
-                lambda b: F.struct(
-                    a.alias("l"), b.alias("r"), code(a).alias("lp"), code(b).alias("rp")
-                ),
-            ),
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("l"), b.alias("r"), code(a).alias("lp"), code(b).alias("rp"))
+
+    def values(side: Column) -> Column:
+        return F.when(F.size(side["names"]) == 1, side["names"][0]["given"]).otherwise(
+            F.flatten(F.transform(side["names"], lambda n: n["given"]))
         )
-    )
+
+    return _cross(values(left), values(right), pair)
 
 
 def _texts(pairs: Column) -> Column:
@@ -141,13 +143,15 @@ def best_comparator(pair: Column, kinds: tuple[str, ...], comparators: Comparato
 def _best_of_cross(pairs: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
     """Best pair of a cross of values; ties keep the earlier pair."""
     nothing = _result(F.lit(0.0), "none").cast(_RESULT)
-    return F.aggregate(
+    only = best_comparator(F.get(pairs, F.lit(0)), kinds, comparators)
+    best = F.aggregate(
         pairs,
         nothing,
         lambda best, pair: _later_must_beat(
             best, best_comparator(pair, kinds, comparators).cast(_RESULT)
         ),
     )
+    return F.when(F.size(pairs) == 1, _later_must_beat(nothing, only)).otherwise(best)
 
 
 def _birth_date(left: Column, right: Column) -> tuple[Column, Column, Column]:
@@ -168,31 +172,49 @@ def _birth_date(left: Column, right: Column) -> tuple[Column, Column, Column]:
     return similarity, comparator, missing
 
 
-def _address(left: Column, right: Column) -> tuple[Column, Column, Column]:
-    missing = (F.size(left["addresses"]) == 0) | (F.size(right["addresses"]) == 0)
-
+def _address_facts(left: Column, right: Column) -> Column:
+    """Per address pair: postcode score, shared words, words in all. Nothing is decided yet, so that
+    the costly set operation is written, and evaluated, once."""
     def one(a: Column, b: Column) -> Column:
         code = (
             F.when((a["postcode"] != "") & (a["postcode"] == b["postcode"]), 1.0)
             .when((a["sector"] != "") & (a["sector"] == b["sector"]), 0.6)
             .otherwise(0.0)
         )
-        words = sim.token_jaccard_sets(a["words"], b["words"])
-        label = F.when(
-            code >= words, F.when(code == 1.0, "postcode-exact").otherwise("postcode-sector")
-        ).otherwise("token-jaccard")
-        return _result(F.greatest(code, words), label)
-
-    pairs = F.flatten(
-        F.transform(
-            left["addresses"],
-            lambda a: F.transform(right["addresses"], lambda b: one(a, b)),
+        return F.struct(
+            code.alias("code"),
+            F.size(F.array_intersect(a["words"], b["words"])).alias("shared"),
+            (F.size(a["words"]) + F.size(b["words"])).alias("total"),
         )
-    )
+
+    return _cross(left["addresses"], right["addresses"], one)
+
+
+def _address_result(facts: Column) -> Column:
+    union = facts["total"] - facts["shared"]
+    words = F.when(union > 0, facts["shared"].cast("double") / union).otherwise(0.0)
+    label = F.when(
+        facts["code"] >= words,
+        F.when(facts["code"] == 1.0, "postcode-exact").otherwise("postcode-sector"),
+    ).otherwise("token-jaccard")
+    return _result(F.greatest(facts["code"], words), label)
+
+
+def _best_address(facts: Column) -> Column:
+    """Best address pair of ``_address_facts``; ties keep the earlier pair."""
     start = _result(F.lit(0.0), "token-jaccard").cast(_RESULT)
-    best = F.aggregate(pairs, start, lambda acc, new: _later_must_beat(acc, new.cast(_RESULT)))
+    best = F.aggregate(
+        facts, start, lambda acc, new: _later_must_beat(acc, _address_result(new).cast(_RESULT))
+    )
+    return F.when(
+        F.size(facts) == 1, _later_must_beat(start, _address_result(F.get(facts, F.lit(0))))
+    ).otherwise(best)
+
+
+def _address(left: Column, right: Column, best: Column) -> tuple[Column, Column, Column]:
+    missing = (F.size(left["addresses"]) == 0) | (F.size(right["addresses"]) == 0)
     comparator = F.when(missing, "postcode/token-jaccard").otherwise(best["comparator"])
-    return F.when(missing, 0.0).otherwise(best["sim"]), comparator, missing
+    return best["sim"], comparator, missing
 
 
 def _telecom(left: Column, right: Column) -> tuple[Column, Column, Column]:
@@ -235,19 +257,28 @@ def compare(
     """Add ``evidence`` (six fields in fixed order), ``is_certain`` and ``has_hard_conflict``."""
     kinds = rules.comparators
     a, b = F.col(left), F.col(right)
-    df = pairs.withColumn("_family", _family_pairs(a, b)).withColumn(
-        "_given", _given_pairs(a, b, "Phonetic" in kinds.given)
+    df = computed_once(
+        pairs,
+        {
+            "_family": _family_pairs(a, b),
+            "_given": _given_pairs(a, b, "Phonetic" in kinds.given),
+            "_places": _address_facts(a, b),
+        },
     )
     df = _with_batch_scores(df, "_family", kinds.family, kinds)
     df = _with_batch_scores(df, "_given", kinds.given, kinds)
-    df = (
-        df.withColumn("_family_best", _best_of_cross(F.col("_family"), kinds.family, kinds))
-        .withColumn("_given_best", _best_of_cross(F.col("_given"), kinds.given, kinds))
-        .withColumn("_dob", F.struct(*_named(_birth_date(a, b))))
-        .withColumn("_address", F.struct(*_named(_address(a, b))))
-        .withColumn("_telecom", F.struct(*_named(_telecom(a, b))))
-        .withColumn("_gender", F.struct(*_named(_gender(a, b))))
+    df = computed_once(
+        df,
+        {
+            "_family_best": _best_of_cross(F.col("_family"), kinds.family, kinds),
+            "_given_best": _best_of_cross(F.col("_given"), kinds.given, kinds),
+            "_place_best": _best_address(F.col("_places")),
+            "_dob": F.struct(*_named(_birth_date(a, b))),
+            "_telecom": F.struct(*_named(_telecom(a, b))),
+            "_gender": F.struct(*_named(_gender(a, b))),
+        },
     )
+    df = df.withColumn("_address", F.struct(*_named(_address(a, b, F.col("_place_best")))))
     weights = rules.weights
     family_missing = F.size("_family") == 0
     given_missing = F.size("_given") == 0
