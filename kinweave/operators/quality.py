@@ -79,7 +79,7 @@ def feed_disorder(feed: DataFrame, keys: list[str], arrival: str, updated: str,
         .withColumn("_newest", F.greatest(F.max(updated).over(inside), "_carried"))
         .agg(F.count_if(F.col(updated) < F.col("_newest")).alias("out_of_order"))
     )
-    return repeated.join(late)
+    return repeated.withColumn("out_of_order", late.scalar())
 
 
 def common_blocks(index: DataFrame, more_than: int) -> DataFrame:
@@ -120,12 +120,13 @@ def operational_summary(reviews: DataFrame, audit: DataFrame, settings: DataFram
         F.count_if(F.col("status") == "Pending").alias("pending"),
         F.count_if(F.col("status") == "AwaitingSecondApproval").alias("awaiting"),
     )
-    recent = audit.agg(F.count_if(F.col("recorded_at") >= since).alias("recent_audit"))
-    current = settings.agg(
-        F.max("version").alias("settings_version"),
-        F.max_by("profile_version", "version").alias("profile_version"),
+    recent = audit.agg(F.count_if(F.col("recorded_at") >= since))
+    return states.select(
+        "*",
+        recent.scalar().alias("recent_audit"),
+        settings.agg(F.max("version")).scalar().alias("settings_version"),
+        settings.agg(F.max_by("profile_version", "version")).scalar().alias("profile_version"),
     )
-    return states.join(recent).join(current)  # three one-row tables
 
 
 def match_counters(scored: DataFrame) -> DataFrame:

@@ -89,12 +89,11 @@ def linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A match per damaged row, and a non-match by rotating its key by seven thirds."""
     b = people(spark, sf_dir).where("source_system = 'billing'").select("k")
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.count(F.lit(1)).alias("n"))
-    rotated = F.col("k") + F.lit(21)
-    both = b.crossJoin(F.broadcast(n)).select(
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.count(F.lit(1))).scalar()
+    both = b.select("k", ((F.col("k") + 21) % n).alias("rotated")).select(
         F.explode(F.array(
             F.struct(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(True).alias("is_match")),
-            F.struct((rotated % F.col("n")).alias("a"), F.col("k").alias("b"),
+            F.struct(F.col("rotated").alias("a"), F.col("k").alias("b"),
                      F.lit(False).alias("is_match")),
         )).alias("x")
     )
