@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import simhash_popcount
+from kinweave.llm import pfor, simhash_popcount, vector_packing
 from kinweave.llm.common import read
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_popcount.components(read(spark, sf_dir, "documents"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.encode_corpus(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES = {
+    "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_token_ids": op10_token_ids,
 }
