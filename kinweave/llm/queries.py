@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import pfor, simhash_popcount, vector_packing
+from kinweave.llm import pfor, piece_spans, simhash_popcount, vector_packing
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_spans.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op10_token_ids": op10_token_ids,
