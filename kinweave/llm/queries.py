@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import pfor, piece_spans, simhash_popcount, vector_packing
+from kinweave.llm import lang_crf, pfor, piece_spans, simhash_popcount, vector_packing
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_crf.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_spans.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -29,6 +33,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
