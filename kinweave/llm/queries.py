@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import lang_crf, pfor, piece_spans, simhash_popcount, vector_packing
+from kinweave.llm import lang_crf, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_popcount.components(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.report(read(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.encode_corpus(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -37,5 +41,6 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_token_ids": op10_token_ids,
 }
