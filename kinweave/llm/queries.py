@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import hyperplane_dedup, lang_crf, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing
+from kinweave.llm import hyperplane_dedup, lang_crf, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(read(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperplane_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language": op3_language,
+    "op4_nearest": op4_nearest,
     "op5_near_vectors": op5_near_vectors,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
