@@ -119,7 +119,7 @@ def _mentions(text: str) -> Column:
     transform(array(split({text}, {_text(_LIKE)}, -1)), gaps ->
       filter(transform({_located(text, _LIKE)}, (x, i) ->
         transform(array(concat(array('<start>', if(i > 0, '<id>', '<start>')), filter(split(right(gaps[i], 80), r'\\s+'), w -> w <> ''))), l ->
-          transform(array(coalesce(filter(split(left(gaps[i + 1], 40), r'\\s+'), w -> w <> '')[0], '<end>')), r ->
+          transform(array(coalesce(get(filter(split(left(gaps[i + 1], 40), r'\\s+'), w -> w <> ''), 0), '<end>')), r ->
             named_struct('start', x.start, 'end', x.end, 'value', x.value, 'known', case {known} end, 'shape', {shape},
               'l2', {word('element_at(l, -2)')}, 'l1', {word('element_at(l, -1)')}, 'r1', {word('r')}))[0])[0]),
         x -> size(x.shape) > 0 or x.known is not null))[0]
