@@ -1,3 +1,20 @@
 """DuckDB SQL that computes results of the registered queries another way."""
 
-ORACLES: dict[str, str] = {}
+#: sha1 of the whole payload; the largest page of equal payloads of 1000 bytes or more is stored.
+_WARC = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+  from pages
+), g as (
+  select *, max(page_id) over (partition by payload_digest, payload_bytes) as stored from p
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id < stored then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < stored then stored end as refers_to,
+  cast(null as varchar) as problem
+from g
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": _WARC,
+}

@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import hyperplane_dedup, lang_crf, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing
+from kinweave.llm import hyperplane_dedup, lang_crf, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing, warc
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_language": op3_language,
     "op4_nearest": op4_nearest,
     "op5_near_vectors": op5_near_vectors,
