@@ -1,5 +1,7 @@
 """DuckDB SQL that computes results of the registered queries another way."""
 
+from kinweave.llm import license_scan
+
 #: sha1 of the whole payload; the largest page of equal payloads of 1000 bytes or more is stored.
 _WARC = """
 with p as (
@@ -17,4 +19,5 @@ from g
 
 ORACLES: dict[str, str] = {
     "op1_warc": _WARC,
+    "op2_licenses": license_scan.oracle(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import hyperplane_dedup, lang_crf, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing, warc
+from kinweave.llm import hyperplane_dedup, lang_crf, license_scan, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing, warc
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
     "op3_language": op3_language,
     "op4_nearest": op4_nearest,
     "op5_near_vectors": op5_near_vectors,
