@@ -170,7 +170,8 @@ class PieceModel:
             self.seen.clear()
         # a word takes the spaces before it; the text's own first word has the dummy one
         words = [_WORDS.findall(s) if "  " in (s := " " + t) else [" " + w for w in t.split(" ")] for t in texts]
-        tailed = [t.endswith(" ") for t in texts]
+        # spaces at the end belong to no word, and a marker in the text itself joins with its neighbours
+        tailed = [t.endswith(" ") or "▁" in t for t in texts]
         new = list(set().union(*(w for w, odd in zip(words, tailed) if not odd)).difference(self.seen))
         for word, ids in zip(new, self.library.encode([w[1:] for w in new], num_threads=1)):
             self.seen[word] = np.array(ids, dtype="<u4").tobytes()
