@@ -127,13 +127,16 @@ def _mentions(text: str) -> Column:
 
 
 def _edges(mentions: DataFrame) -> DataFrame:
-    """(kind, context, value, seed): distinct; contexts are two words before, one on each side, or a label."""
+    """(kind, context, value, seed): distinct; contexts are two words before, one on each side, or a label.
+
+    The nearest word before must be one: the start of a text or another match tells nothing.
+    """
     contexts = F.expr("""filter(array(
         concat('2|', l2, ' ', l1), concat('1|', l1, ' _ ', r1), if(l1 rlike '.[:=#]$', concat('0|', l1), null)
       ), c -> c is not null)""")
     kinds = F.expr("if(known is null, shape, array(known))")
     return (
-        mentions.select(F.explode(kinds).alias("kind"), contexts.alias("contexts"), "value", F.col("known").isNotNull().alias("seed"))
+        mentions.where("l1 <> '' and l1 not like '<%'").select(F.explode(kinds).alias("kind"), contexts.alias("contexts"), "value", F.col("known").isNotNull().alias("seed"))
         .select("kind", F.explode("contexts").alias("context"), "value", "seed").distinct()
     )
 
