@@ -17,7 +17,22 @@ select page_id, payload_bytes, payload_digest,
 from g
 """
 
+#: Every pair by its cosine; components by spreading along the links.
+_NEAR_VECTORS = """
+with recursive v as (
+  select row_number() over (order by vec_id) as k, vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+),
+n as (select k, vec_id, e, sqrt(list_inner_product(e, e)) as norm from v),
+l as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.k <> b.k and list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+),
+r(a, b) as (select vec_id, vec_id from v union select r.a, l.b from r join l on r.b = l.a)
+select v.vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join (select a, min(b) as component_id from r group by a) c on c.a = v.vec_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": _WARC,
     "op2_licenses": license_scan.oracle(),
+    "op5_near_vectors": _NEAR_VECTORS,
 }
