@@ -9,6 +9,7 @@ chunked framing of the body. Pages with the payload of another page become revis
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -118,7 +119,7 @@ def write_pages(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
     least_revisit: int = LEAST_REVISIT, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES, file_records: int = FILE_RECORDS,
 ) -> None:
-    """Write every row of ``pages`` to archives in ``folder``.
+    """Write every row of ``pages`` to archives in ``folder``, each compressed as a whole.
 
     Of the pages with equal payloads of ``least_revisit`` bytes or more the one with the largest id is
     stored and the others become revisits; a page that repeats with the same id and payload is stored
@@ -148,12 +149,14 @@ def write_pages(
             yield pd.DataFrame({"record": [r + _CRLF for r in first + later[::-1]]})
 
     out = marked.mapInPandas(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", file_records).text(folder)
+    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", file_records).option("compression", "gzip").text(folder)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header, block) of each record of an archive; lengths alone say where a record ends."""
     at = 0
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.decompress(content)
     while at < len(content):
         end = content.find(b"\r\n\r\n", at)
         if end < 0 or not content.startswith(b"WARC/", at):
