@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,22 @@ def tables_for(rows: int, cosine: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def codes(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """Bucket of each vector (row) in each table."""
-    planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], bits * tables))
+@lru_cache(maxsize=4)
+def _planes(size: int, count: int, seed: int) -> np.ndarray:
+    """Normals of the hyperplanes, a column each; the first ones are the same for any count."""
+    return np.ascontiguousarray(np.random.default_rng([seed, size]).standard_normal((count, size)).T)
+
+
+def codes(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED, first: int | None = None) -> np.ndarray:
+    """Bucket of each vector (row) in each table, or in the ``first`` ones."""
+    planes = _planes(vectors.shape[1], bits * tables, seed)
+    tables = tables if first is None else first
+    planes = planes[:, :bits * tables]
     out = np.empty((len(vectors), tables), dtype=np.int64)
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
     for at in range(0, len(vectors), 2048):
-        sides = (vectors[at:at + 2048] @ planes > 0).reshape(-1, tables, bits)
-        out[at:at + 2048] = sides @ weights
+        part = vectors[at:at + 2048]
+        out[at:at + 2048] = (part @ planes > 0).reshape(len(part), tables, bits) @ weights
     return out
 
 
@@ -79,7 +88,7 @@ def _linked(group: pd.DataFrame, cosine: float, bits: int, tables: int, seed: in
     members = np.unique(np.concatenate((a, b)))
     seat = np.zeros(len(group), dtype=np.int64)
     seat[members] = np.arange(len(members))
-    own = codes(vectors[members], bits, tables, seed)[:, :int(group["table"].iloc[0])]
+    own = codes(vectors[members], bits, tables, seed, int(group["table"].iloc[0]))
     fresh = np.ones(len(a), dtype=bool)
     for at in range(0, len(a), 65536):
         fresh[at:at + 65536] = ~(own[seat[a[at:at + 65536]]] == own[seat[b[at:at + 65536]]]).any(axis=1)
