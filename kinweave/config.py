@@ -170,15 +170,19 @@ def check_fs_model(df) -> ProbabilityModel:
     return made
 
 
+def _count(value) -> int | None:
+    return None if value is None else int(value)
+
+
 @dataclass(frozen=True)
 class MatchingProfile:
     version: str = "uk-default-v1"
     weights: Weights = Weights()
     possible: float = 0.62
     probable: float = 0.82
-    max_candidates: int = 500
+    max_candidates: int | None = None  # None: every candidate; a number: larger sets are refused, as rows
     default_results: int = 10
-    max_results: int = 50
+    max_results: int | None = None  # None: as many as are asked for; asking for more is an error
     blocking_rules: tuple[str, ...] = BLOCKING_RULES
     identifier_systems: tuple[str, ...] = (NHS_SYSTEM,)
     comparators: Comparators = Comparators()
@@ -210,11 +214,12 @@ class MatchingProfile:
                 re.match(r"[A-Za-z][A-Za-z0-9+.-]*:\S+\Z", system) is not None,
                 f"identifier system {system!r} is not an absolute URI",
             )
-        _require(self.max_candidates >= 1, "the candidate cap must be positive")
+        _require(self.max_candidates is None or self.max_candidates >= 1, "the candidate cap must be positive")
         _require(
-            1 <= self.default_results <= self.max_results <= 100
-            and self.max_results <= self.max_candidates,
-            "result counts must satisfy 1 <= default <= maximum <= min(100, cap)",
+            1 <= self.default_results
+            and (self.max_results is None or self.default_results <= self.max_results)
+            and (None in (self.max_results, self.max_candidates) or self.max_results <= self.max_candidates),
+            "result counts must satisfy 1 <= default <= maximum <= cap",
         )
         self.comparators.check()
         if self.model is not None:
@@ -229,9 +234,9 @@ class MatchingProfile:
             weights=Weights(**d["weights"]) if "weights" in d else base.weights,
             possible=float(d.get("possible", base.possible)),
             probable=float(d.get("probable", base.probable)),
-            max_candidates=int(d.get("max_candidates", base.max_candidates)),
+            max_candidates=_count(d.get("max_candidates", base.max_candidates)),
             default_results=int(d.get("default_results", base.default_results)),
-            max_results=int(d.get("max_results", base.max_results)),
+            max_results=_count(d.get("max_results", base.max_results)),
             blocking_rules=tuple(d.get("blocking_rules", base.blocking_rules)),
             identifier_systems=tuple(d.get("identifier_systems", base.identifier_systems)),
             comparators=Comparators.from_dict(d.get("comparators", {})),

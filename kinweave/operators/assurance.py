@@ -15,7 +15,6 @@ from kinweave.schemas import COMPARISON_LEVELS, EVIDENCE_FIELDS
 from kinweave.session import stage
 
 _Z = 1.959963984540054
-_EXACT_DIGEST_LIMIT = 10_000
 LEFT = ["left_source", "left_local_id"]
 RIGHT = ["right_source", "right_local_id"]
 
@@ -28,8 +27,11 @@ def label_keys(labels: DataFrame) -> DataFrame:
     )
 
 
-def check_labels(labels: DataFrame, sources: DataFrame) -> DataFrame:
-    """Problem rows (problem, pair_key); an empty result means the labels may be used."""
+def check_labels(labels: DataFrame, sources: DataFrame, longest: int | None = None) -> DataFrame:
+    """Problem rows (problem, pair_key); an empty result means the labels may be used.
+
+    References longer than ``longest`` characters are malformed; None allows any length.
+    """
     keyed = label_keys(labels)
     left, right = F.concat_ws("/", *LEFT), F.concat_ws("/", *RIGHT)
     itself = keyed.where(left == right).select(F.lit("self-pair").alias("problem"), "pair_key")
@@ -40,7 +42,7 @@ def check_labels(labels: DataFrame, sources: DataFrame) -> DataFrame:
     malformed = keyed.where(
         reduce(
             lambda a, b: a | b,
-            (F.col(c).isNull() | (F.trim(c) == "") | (F.length(c) > 256)
+            (F.col(c).isNull() | (F.trim(c) == "") | (F.length(c) > longest if longest else F.lit(False))
              | F.col(c).rlike(r"[\x00-\x1F\x7F-\x9F]") for c in (LEFT[1], RIGHT[1])),
         )
     ).select(F.lit("malformed-reference").alias("problem"), "pair_key")
@@ -61,7 +63,10 @@ def check_labels(labels: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def resolve_labels(labels: DataFrame, sources: DataFrame) -> DataFrame:
-    """Attach both source rows (norm and keys) to each label."""
+    """Attach both source rows (norm and keys) to each label.
+
+    Labels of unknown records have none and are left out; ``check_labels`` names them.
+    """
     def side(prefix: str, columns: list[str]) -> DataFrame:
         return sources.select(
             F.col("source_system").alias(columns[0]), F.col("local_id").alias(columns[1]),
@@ -97,8 +102,8 @@ def blocking_recall(observations: DataFrame) -> DataFrame:
 def thresholds(rules: MatchingProfile, given: list[float] | None = None) -> list[float]:
     values = [step / 20 for step in range(21)] if not given else list(given)
     made = sorted({*values, rules.possible, rules.probable})
-    if len(made) > 101 or any(not math.isfinite(v) or not 0 <= v <= 1 for v in made):
-        raise ConfigurationError("thresholds: at most 101 finite values in [0, 1]")
+    if any(not math.isfinite(v) or not 0 <= v <= 1 for v in made):
+        raise ConfigurationError("thresholds: finite values in [0, 1]")
     return made
 
 
@@ -191,8 +196,8 @@ def misclassified(
     observations: DataFrame, rules: MatchingProfile, cuts: list[float], n: int = 100
 ) -> DataFrame:
     """Most confident errors at the threshold nearest the probable one."""
-    if not 0 <= n <= 100:
-        raise ConfigurationError("between 0 and 100 error examples")
+    if n < 0:
+        raise ConfigurationError("the number of error examples must not be negative")
     at = min(cuts, key=lambda cut: (abs(cut - rules.probable), cut))
     predicted = ~F.col("has_hard_conflict") & (
         (F.col("grade") == "Certain") | (F.col("score") >= at)
@@ -292,31 +297,33 @@ def brier_log_loss(scored: DataFrame) -> DataFrame:
 
 
 def dataset_digest(observations: DataFrame) -> str:
-    """SHA-256 over the sorted ``pair|label`` lines.
+    """A digest of the labelled pairs in any order, the same rule for every size.
 
-    Up to 10,000 labels the lines are hashed as one text. A larger set is never gathered: it is
-    digested from order-free sums over the hashes of its lines, and marked as such.
+    The lines ``pair|label`` are hashed, the eight words of the hashes summed up, and the sums hashed.
     """
     line = F.concat_ws("|", "pair_key", F.when(F.col("is_match"), "1").otherwise("0"))
     lines = observations.select(line.alias("line"))
-    if lines.limit(_EXACT_DIGEST_LIMIT + 1).count() <= _EXACT_DIGEST_LIMIT:
-        text = lines.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
-        return text.select(F.sha2(F.encode("text", "UTF-8"), 256)).first()[0]
     hashed = lines.select(F.sha2(F.encode("line", "UTF-8"), 256).alias("h"))
     parts = [
         F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string")
         for i in range(8)
     ]
     total = hashed.agg(F.count(F.lit(1)).cast("string").alias("n"), F.concat_ws(",", *parts).alias("s"))
-    return "sum:" + total.select(F.sha2(F.concat_ws(",", "n", "s"), 256)).first()[0]
+    return total.select(F.sha2(F.concat_ws(",", "n", "s"), 256)).first()[0]
 
 
 def evaluate(
     labels: DataFrame, sources: DataFrame, cfg: TenantConfig,
     cuts: list[float] | None = None, examples: int = 100,
 ) -> dict[str, DataFrame | str]:
-    """All evaluation tables over one staged set of observations."""
+    """All evaluation tables over one staged set of observations.
+
+    Labels with problems are refused as a whole, as figures over a part of them would mislead.
+    """
     rules = cfg.profile
+    bad = check_labels(labels, sources).groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()
+    if bad:
+        raise ConfigurationError("labels: " + ", ".join(f"{r['n']} {r['problem']}" for r in bad))
     seen = stage(observe_pairs(labels, sources, cfg), "observations")
     chosen = thresholds(rules, cuts)
     return {

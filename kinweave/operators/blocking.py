@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.config import MatchingProfile, Secret, TenantConfig
 from kinweave.functions.hashing import hmac_sha256
 from kinweave.functions.once import computed_once
+from kinweave.session import stage
 
 KEY = ["tenant_id", "key_version", "key_value"]
 
@@ -115,16 +116,44 @@ def block_stats(index: DataFrame) -> DataFrame:
     )
 
 
+#: Blocks with more identities than this are joined in parts.
+PART_ROWS = 4096
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on the key; the right rows of a large block are dealt over parts by their hash.
+
+    Each left row goes to every part of its block, so no task holds more than a part of a hot key.
+    """
+    parts = block_sizes(right).where(F.col("block_size") > PART_ROWS).select(
+        *KEY, F.ceil(F.col("block_size") / PART_ROWS).cast("int").alias("_parts"))
+    parts = parts.join(left.select(*KEY).distinct(), KEY, "left_semi")
+    own = [c for c in right.columns if c not in KEY]
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = right.join(parts, KEY, "left").withColumn("_part", F.pmod(F.xxhash64(*own), count).cast("int"))
+    spread = left.join(parts, KEY, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1)))
+    return spread.drop("_parts").join(dealt.drop("_parts"), [*KEY, "_part"]).drop("_part")
+
+
 def candidates(
-    queries: DataFrame, index: DataFrame, cap: int
+    queries: DataFrame, index: DataFrame, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of outside queries, and the queries refused because they have too many.
 
-    ``queries`` holds (tenant_id, query_id, key_version, key_value) rows. A block with more than
-    ``cap`` identities refuses its queries before any pair is made; every other block yields at
-    most ``cap`` rows per query, so the join stays linear in the queries however hot a key is.
+    ``queries`` holds (tenant_id, query_id, key_version, key_value) rows. Without a cap every query
+    gets all of its candidates. With one, a block with more than ``cap`` identities refuses its
+    queries before any pair is made, so the join stays linear in the queries however hot a key is.
     Pairs carry ``candidate_count``, the distinct candidates of their query.
     """
+    index = index.join(queries.select(*KEY).distinct(), KEY, "left_semi")
+    if cap is None:
+        found = stage(
+            _met(queries, index)
+            .select("tenant_id", "query_id", F.col("enterprise_id").alias("candidate_id")).distinct(),
+            "candidates")
+        counts = found.groupBy("tenant_id", "query_id").agg(F.count(F.lit(1)).alias("candidate_count"))
+        refused = queries.limit(0).select("tenant_id", "query_id")
+        return found.join(counts, ["tenant_id", "query_id"]), refused
     # One secret version is enough where both sides have it, but rows written before a rotation may
     # carry other versions only; joining on all and removing repeats is right for both.
     oversized = block_sizes(index).where(F.col("block_size") > cap).select(*KEY)
@@ -148,13 +177,20 @@ def candidates(
     return pairs.where(F.col("candidate_count") <= cap), over_queries.unionByName(many)
 
 
-def self_candidates(index: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+def self_candidates(index: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (subject_id < candidate_id) of one population, and the refused subjects.
 
-    A subject is refused when its candidates, itself included, exceed ``cap``. Every member of a
-    block larger than ``cap`` is refused on sight, so such blocks never enter the self-join; their
-    members still appear as candidates through their smaller blocks.
+    Without a cap nothing is refused. With one, a subject is refused when its candidates, itself
+    included, exceed ``cap``. Every member of a block larger than ``cap`` is refused on sight, so
+    such blocks never enter the self-join; their members still appear as candidates through their
+    smaller blocks.
     """
+    if cap is None:
+        left = index.select(*KEY, F.col("enterprise_id").alias("subject_id"))
+        right = index.select(*KEY, F.col("enterprise_id").alias("candidate_id"))
+        pairs = _met(left, right).where(F.col("subject_id") < F.col("candidate_id")).select(
+            "tenant_id", "subject_id", "candidate_id").distinct()
+        return pairs, index.limit(0).select("tenant_id", F.col("enterprise_id").alias("subject_id"))
     oversized = block_sizes(index).where(F.col("block_size") > cap).select(*KEY)
     over_ids = (
         index.join(oversized, KEY, "left_semi").select("tenant_id", "enterprise_id").distinct()

@@ -285,14 +285,16 @@ def canonical_with_person(registry: Registry) -> DataFrame:
 def resolve_replaced_by(canonical: DataFrame) -> DataFrame:
     """(tenant_id, enterprise_id, survivor_id): follow replaced_by to the identity still in use.
 
-    Pointer doubling: each round joins the table with itself and halves the longest chain.
+    Pointer doubling: each round joins the table with itself and halves the longest chain, so the
+    number of rounds is bounded by the logarithm of the rows. An identity whose chain runs into a
+    cycle has no survivor: its survivor_id is null.
     """
     from kinweave.session import cut
 
-    hops = canonical.select(
-        *IDENTITY, F.coalesce("replaced_by", "enterprise_id").alias("survivor_id")
-    )
-    while True:
+    named = cut(canonical.select(*IDENTITY, F.col("replaced_by").alias("_to")))
+    own = F.coalesce("_to", "enterprise_id")
+    hops = named.select(*IDENTITY, own.alias("survivor_id"))
+    for _ in range(max(1, named.count()).bit_length() + 1):
         ahead = hops.select(
             "tenant_id", F.col("enterprise_id").alias("survivor_id"),
             F.col("survivor_id").alias("_next"),
@@ -304,7 +306,12 @@ def resolve_replaced_by(canonical: DataFrame) -> DataFrame:
         )
         hops = moved.select(*IDENTITY, F.col("_next").alias("survivor_id"))
         if moved.where(F.col("_next") != F.col("survivor_id")).limit(1).count() == 0:
-            return hops
+            break
+    # Where a chain ended, its end points nowhere; on a cycle it still points on.
+    onward = named.where("_to is not null and _to <> enterprise_id").select(
+        "tenant_id", F.col("enterprise_id").alias("survivor_id"), F.lit(True).alias("_onward"))
+    return hops.join(onward, ["tenant_id", "survivor_id"], "left").select(
+        *IDENTITY, F.when(F.col("_onward").isNull(), F.col("survivor_id")).alias("survivor_id"))
 
 
 def identity_view(registry: Registry, ids: DataFrame) -> DataFrame:

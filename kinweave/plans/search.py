@@ -135,11 +135,12 @@ def search_jobs(
 
 
 def page(df: DataFrame, table: str, size: int = 20, cursor: str | None = None) -> tuple[list, str | None]:
-    """One page of at most 100 rows and the cursor of the next.
+    """One page of ``size`` rows and the cursor of the next.
 
     The cursor holds the last row's sort key, so a page costs a top-k, not an offset scan.
     """
-    size = max(1, min(100, size))
+    if size < 1:
+        raise ValueError("a page has at least one row")
     order = _ORDER[table]
     found = df
     if cursor:
@@ -164,8 +165,9 @@ def page(df: DataFrame, table: str, size: int = 20, cursor: str | None = None) -
     return rows[:size], nxt
 
 
-def priority_reviews(reviews: DataFrame, n: int = 6) -> DataFrame:
-    """Reviews that wait for a second approval first, then new ones, newest first."""
+def priority_reviews(reviews: DataFrame, n: int | None = None) -> DataFrame:
+    """Reviews that wait for a second approval first, then new ones, newest first; ``n`` of them or all."""
     open_rows = reviews.where(F.col("status").isin("Pending", "AwaitingSecondApproval"))
     first = F.when(F.col("status") == "AwaitingSecondApproval", 0).otherwise(1)
-    return open_rows.orderBy(first, F.desc("created_at"), "id").limit(n)
+    ordered = open_rows.orderBy(first, F.desc("created_at"), "id")
+    return ordered if n is None else ordered.limit(n)

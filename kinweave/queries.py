@@ -634,7 +634,7 @@ def candidate_histogram(spark, sf_dir):
     who = identities(spark, sf_dir)
     pairs, _ = blocking.candidates(
         blocking.explode_keys(who.withColumnRenamed("enterprise_id", "query_id"), "query_id"),
-        blocking.candidate_index(who), 500,
+        blocking.candidate_index(who), None,
     )
     return quality.candidate_histogram(pairs)
 

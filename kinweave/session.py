@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,17 +24,17 @@ def build_session(app: str = "kinweave", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as named by the cluster.
+    """The folder every executor can read, as named by ``spark.checkpoint.dir``.
 
-    A local session without one gets a scratch folder; on a cluster a missing setting is an error,
-    because files in a machine-local folder are lost with the machine.
+    Only a session whose driver and tasks are one process may do without the setting; it gets a new
+    folder. Anywhere else a missing setting is an error, because files on one machine are lost with it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kinweave-checkpoint-")
     if not context.getCheckpointDir():

@@ -182,11 +182,11 @@ def test_hashes(spark):
 
 def test_configuration():
     base = c.MatchingProfile.from_dict({})
-    assert base.weights.total == pytest.approx(1.0) and base.max_candidates == 500
+    assert base.weights.total == pytest.approx(1.0) and base.max_candidates is None
     for bad in (
         {"possible": 0.9}, {"probable": float("nan")}, {"weights": {"family": 2.0}},
         {"blocking_rules": ["Nope"]}, {"blocking_rules": []}, {"identifier_systems": ["x"]},
-        {"default_results": 60}, {"comparators": {"given": ["Nickname"]}},
+        {"default_results": 60, "max_results": 50}, {"max_results": 50, "max_candidates": 20}, {"comparators": {"given": ["Nickname"]}},
         {"comparators": {"phonetic_floor": 0}}, {"comparators": {"family": ["Exact", "Exact"]}},
     ):
         with pytest.raises(c.ConfigurationError):

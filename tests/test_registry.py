@@ -252,3 +252,54 @@ def test_incremental_import(spark):
     jobs = second["jobs"].orderBy("window_end").collect()
     assert len(jobs) == 2 and jobs[1]["window_start"] == jobs[0]["window_end"]
     assert len(jobs[0]["fingerprint"]) == 64
+
+
+def adt_rows(spark, texts):
+    start = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(m, start + dt.timedelta(minutes=i)) for i, m in enumerate(texts)], "message string, arrival timestamp").coalesce(1)
+
+
+PID = "PID|1||{}^^^HOSP^MR||{}^Ann||19800102|F"
+
+
+def test_merge_of_an_unknown_record_fails_and_may_be_sent_again(spark):
+    cfg = config()
+    merge = message("A40", pid=PID.format("L2", "Khan"), mrg="MRG|GONE^^^HOSP^MR", control="9")
+    registry, acks = adt.apply_adt(reg.Registry(spark), adt_rows(spark, [merge]), "hosp", cfg, at(1))
+    assert [(r["ack_code"], r["is_replay"]) for r in acks.collect()] == [("AE", False)]
+    assert registry["receipts"].count() == 0 and registry["canonical_patients"].where("is_active").count() == 1
+    registry = registry.having(**{name: maintenance.stage(df, name) for name, df in registry.tables.items()})
+    known = message("A28", pid=PID.format("GONE", "Olds"), control="10")
+    again, acks = adt.apply_adt(registry, adt_rows(spark, [known, merge]), "hosp", cfg, at(2))
+    assert [r["ack_code"] for r in acks.orderBy("arrival").collect()] == ["AA", "AA"]
+    assert again["canonical_patients"].where("is_active").count() == 1 and again["receipts"].count() == 2
+
+
+@pytest.mark.parametrize("merges, survivor", [
+    ([("L1", "L2"), ("L1", "L3")], "L3"), ([("L1", "L2"), ("L2", "L1")], "L2"), ([("L1", "L2"), ("L2", "L3"), ("L3", "L1")], "L3"),
+])
+def test_merges_of_one_batch_are_taken_in_order(spark, merges, survivor):
+    """Each merge finds the records where the ones before have put them; rings end with one identity."""
+    cfg = config()
+    names = {"L1": "Smith", "L2": "Khan", "L3": "Olds"}
+    texts = [message("A28", pid=PID.format(k, v), control=k) for k, v in names.items()]
+    texts += [message("A40", pid=PID.format(b, names[b]), mrg=f"MRG|{a}^^^HOSP^MR", control=f"m{i}") for i, (a, b) in enumerate(merges)]
+    registry, acks = adt.apply_adt(reg.Registry(spark), adt_rows(spark, texts), "hosp", cfg, at(1))
+    assert {r["ack_code"] for r in acks.collect()} == {"AA"}
+    touched = {x for m in merges for x in m}
+    owned = {r["local_id"]: r["enterprise_id"] for r in registry["source_patients"].collect()}
+    assert len({owned[x] for x in touched}) == 1
+    active = {r["enterprise_id"] for r in registry["canonical_patients"].where("is_active").collect()}
+    assert active == set(owned.values()) and len(active) == 4 - len(touched)
+    first = adt.apply_adt(reg.Registry(spark), adt_rows(spark, texts[:3]), "hosp", cfg, at(1))[0]
+    own = {r["local_id"]: r["enterprise_id"] for r in first["source_patients"].collect()}
+    assert owned[survivor] == own[survivor]
+
+
+def test_replaced_by_chains_and_rings(spark):
+    rows = [("t1", "a", "b"), ("t1", "b", "a"), ("t1", "c", "d"), ("t1", "d", "e"), ("t1", "e", "c"), ("t1", "f", "c"),
+            ("t1", "g", "h"), ("t1", "h", "i"), ("t1", "i", None), ("t1", "k", "k")]
+    table = spark.createDataFrame(rows, "tenant_id string, enterprise_id string, replaced_by string")
+    got = {r["enterprise_id"]: r["survivor_id"] for r in reg.resolve_replaced_by(table).collect()}
+    assert got == {**dict.fromkeys("abcdef"), "g": "i", "h": "i", "i": "i", "k": "k"}
