@@ -77,30 +77,29 @@ def _texts(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r")))
 
 
-def _with_batch_scores(
-    df: DataFrame, pairs: str, kinds: tuple[str, ...], comparators: Comparators
-) -> DataFrame:
-    """Give the pairs one more field per comparator that runs as Arrow batches.
+def _with_batch_scores(df: DataFrame, wanted: dict[str, tuple[str, ...]], comparators: Comparators) -> DataFrame:
+    """Give the pairs of each column one more field per comparator that runs as Arrow batches.
 
-    The UDFs are marked non-deterministic so that their output stays a column of its own: Spark
-    must neither run them twice nor fold them into the lambdas that read them.
+    All batches are asked for in one projection, so that rows make one trip to Python. The UDFs are
+    marked non-deterministic so that their output stays a column of its own: Spark must neither run
+    them twice nor fold them into the lambdas that read them.
     """
     batch = {
         "JaroWinkler": sim.jaro_winkler_pairs,
         "NormalisedDamerauLevenshtein": sim.osa_pairs,
     }
-    if "Nickname" in kinds:
+    if any("Nickname" in kinds for kinds in wanted.values()):
         batch["Nickname"] = sim.nickname_pairs(comparators.lexicons)
-    used = [kind for kind in batch if kind in kinds]
-    texts = _texts(F.col(pairs))
-    for kind in used:
-        df = df.withColumn(f"{pairs}_{kind}", batch[kind](texts))
-    made = F.col(pairs)
-    for kind in used:
-        made = F.zip_with(
-            made, F.col(f"{pairs}_{kind}"), lambda p, v: p.withField(kind, v)
-        )
-    return df.withColumn(pairs, made)
+    used = [(pairs, kind) for pairs, kinds in wanted.items() for kind in batch if kind in kinds]
+    df = df.withColumns({f"{pairs}_{kind}": batch[kind](_texts(F.col(pairs))) for pairs, kind in used})
+    made = {pairs: F.col(pairs) for pairs, _ in used}
+
+    def with_field(kind: str):
+        return lambda pair, value: pair.withField(kind, value)
+
+    for pairs, kind in used:
+        made[pairs] = F.zip_with(made[pairs], F.col(f"{pairs}_{kind}"), with_field(kind))
+    return df.withColumns(made) if made else df
 
 
 def best_comparator(pair: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
@@ -265,8 +264,7 @@ def compare(
             "_places": _address_facts(a, b),
         },
     )
-    df = _with_batch_scores(df, "_family", kinds.family, kinds)
-    df = _with_batch_scores(df, "_given", kinds.given, kinds)
+    df = _with_batch_scores(df, {"_family": kinds.family, "_given": kinds.given}, kinds)
     df = computed_once(
         df,
         {
