@@ -176,7 +176,7 @@ def _count(value) -> int | None:
 
 @dataclass(frozen=True)
 class MatchingProfile:
-    version: str = "uk-default-v1"
+    version: str = "kinweave-people-v1"
     weights: Weights = Weights()
     possible: float = 0.62
     probable: float = 0.82

@@ -549,7 +549,7 @@ FROM owned WHERE k % 50 = 7""",
 SELECT {_uuid('d')} AS id, l AS subject_id, r AS candidate_id, round(s, 6) AS score, grade,
   2 AS required_approvals, hard AS policy_locked
 FROM (SELECT *, sha256('demo' || chr(0) || l || chr(0) || '1' || chr(0) || r || chr(0) || '1' || chr(0)
-    || 'uk-default-v1') AS d FROM scored WHERE grade IN ('Probable', 'Certain'))""",
+    || 'kinweave-people-v1') AS d FROM scored WHERE grade IN ('Probable', 'Certain'))""",
 }
 
 # ---- messages and feeds ---------------------------------------------------------------------------
@@ -558,8 +558,8 @@ _EVENTS = """
 e AS (
   SELECT *, CASE event_type WHEN 'signup' THEN 'A28' WHEN 'view' THEN 'A08' WHEN 'click' THEN 'A31'
       WHEN 'purchase' THEN 'A04' ELSE 'A40' END AS trigger,
-    CASE WHEN event_id % 40 = 0 THEN 'HL7 version ''2.7'' is not supported.'
-      WHEN event_id % 90 = 7 THEN 'PID-7 contains an invalid birth date.' END AS error
+    CASE WHEN event_id % 40 = 0 THEN 'Unread HL7 version: 2.7'
+      WHEN event_id % 90 = 7 THEN 'PID-7 is no date of birth.' END AS error
   FROM events
 )"""
 
@@ -614,9 +614,9 @@ SELECT 'U' || user_id AS local_id, arg_max(event_id, ts)::VARCHAR AS control_id,
   max(ts) AS arrival FROM e WHERE error IS NULL GROUP BY user_id""",
     "adt_acks": "WITH " + _EVENTS.strip() + """
 SELECT event_id, 'MSA|' || CASE WHEN error IS NULL THEN 'AA' ELSE 'AR' END || '|' || event_id || '|'
-    || coalesce(error, 'Message committed.') AS msa,
+    || coalesce(error, 'Stored.') AS msa,
   'ERR|||' || CASE WHEN error IS NULL THEN '0' ELSE '200' END || '^Application internal error^HL70357|'
-    || CASE WHEN error IS NULL THEN 'I' ELSE 'E' END || '|||' || coalesce(error, 'Message committed.') AS err
+    || CASE WHEN error IS NULL THEN 'I' ELSE 'E' END || '|||' || coalesce(error, 'Stored.') AS err
 FROM e""",
     "replay_split": """
 SELECT event_id, CASE WHEN rn = 1 THEN 'fresh' WHEN d = first_d THEN 'replay' ELSE 'conflict' END AS receipt_state

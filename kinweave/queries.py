@@ -502,7 +502,7 @@ def adt_acks(spark, sf_dir):
     parsed = hl7.parse_adt(adt_messages(spark, sf_dir), "hosp")
     coded = parsed.withColumns({
         "ack_code": F.when(F.col("error").isNull(), "AA").otherwise("AR"),
-        "diagnostic": F.coalesce("error", F.lit("Message committed.")),
+        "diagnostic": F.coalesce("error", F.lit("Stored.")),
     })
     return hl7.adt_acks(coded, now()).select(
         "event_id", F.split("ack", "\r")[1].alias("msa"), F.split("ack", "\r")[2].alias("err")

@@ -59,12 +59,12 @@ def test_adt_rejections_and_escapes(spark):
         message() + "PIDX|bad",
     )
     errors = [parsed[i]["error"] for i in range(10)]
-    assert errors[0] == "HL7 version '2.7' is not supported."
-    assert errors[1] == "HL7 message 'ADT^A02' is not supported."
-    assert errors[2] == "MRG-1 requires a patient identifier."
+    assert errors[0] == "Unread HL7 version: 2.7"
+    assert errors[1] == "Unread message type: ADT^A02"
+    assert errors[2] == "No patient identifier in MRG-1."
     assert errors[3].startswith("The message must begin")
-    assert errors[4] == "PID-3 requires a patient identifier."
-    assert errors[5] == "PID-7 contains an invalid birth date."
+    assert errors[4] == "No patient identifier in PID-3."
+    assert errors[5] == "PID-7 is no date of birth."
     assert "escape" in errors[6]
     assert errors[7] is None and parsed[7]["profile"]["names"][0]["family"] == "AéB\n"
     assert parsed[7]["profile"]["names"][0]["given"] == ["B|C"]
