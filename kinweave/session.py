@@ -42,13 +42,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_working: dict[str, list[str]] = {}
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a job writes on its way."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _working.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_working(spark: SparkSession) -> None:
+    """Remove the working files of this session, once the results of its jobs are stored elsewhere."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name in _working.pop(spark.sparkContext.applicationId, []):
+        path = hadoop.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, in one pass, and stays columnar, so later steps prune
-    columns. The files outlive any executor.
+    columns. The files outlive any executor; ``clear_working`` removes them.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = working_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

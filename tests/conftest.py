@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from kinweave.session import build_session  # noqa: E402
+from kinweave.session import build_session, clear_working  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,4 +19,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_working(session)
     session.stop()
