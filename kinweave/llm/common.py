@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinweave.session import stage
 
-__all__ = ["read", "row_key", "stage"]
+__all__ = ["read", "stage"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
-def row_key(df: DataFrame, *parts: str, name: str = "_row") -> DataFrame:
-    """Add a key that equal rows share: a struct of the given columns, and the hash of each text."""
-    kinds = dict(df.dtypes)
-    fields = [F.xxhash64(p).alias(p) if kinds[p] in ("string", "binary") else F.col(p) for p in parts]
-    return df.withColumn(name, F.struct(*fields))

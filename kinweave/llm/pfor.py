@@ -10,7 +10,6 @@ Every part is followed by one guard byte, a line feed, which is what Spark's tex
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.byte_bpe import byte_bpe
 from kinweave.llm.common import stage
-from kinweave.session import shared_folder
+from kinweave.session import working_folder
 
 MAGIC = b"PFORids1"
 BLOCK = 512
@@ -230,6 +229,6 @@ def read_ids(spark, folder: str) -> DataFrame:
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 2, **options) -> DataFrame:
     """Write the corpus to a new folder of the shared one and return what the files hold."""
-    folder = f"{shared_folder(docs.sparkSession).rstrip('/')}/pfor-{uuid.uuid4().hex}"
+    folder = working_folder(docs.sparkSession, "pfor")
     write_ids(docs, folder, tokenizer, end_id=end_id, **options)
     return read_ids(docs.sparkSession, folder)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import stage
-from kinweave.session import shared_folder
+from kinweave.session import working_folder
 
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 1000
@@ -258,7 +258,7 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     the one of the page it refers to, found by its record; its digest must be the declared one.
     """
     spark = pages.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = working_folder(spark, "warc")
     write_pages(pages, folder, **options)
     read = stage(payloads(reassemble(read_records(spark, folder)), keep=False), "warc-read")
     wanted = read.where("kind = 'revisit'").select("target").distinct()
