@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.config import Secret
+from kinweave.functions import hashing
 from kinweave.plans import maintenance, review, search
 from kinweave.plans import registry as reg
 from kinweave.plans.upsert import upsert
@@ -276,25 +277,27 @@ def test_merge_of_an_unknown_record_fails_and_may_be_sent_again(spark):
     assert again["canonical_patients"].where("is_active").count() == 1 and again["receipts"].count() == 2
 
 
-@pytest.mark.parametrize("merges, survivor", [
-    ([("L1", "L2"), ("L1", "L3")], "L3"), ([("L1", "L2"), ("L2", "L1")], "L2"), ([("L1", "L2"), ("L2", "L3"), ("L3", "L1")], "L3"),
-])
-def test_merges_of_one_batch_are_taken_in_order(spark, merges, survivor):
+def test_merges_of_one_batch_are_taken_in_order(spark):
     """Each merge finds the records where the ones before have put them; rings end with one identity."""
     cfg = config()
-    names = {"L1": "Smith", "L2": "Khan", "L3": "Olds"}
-    texts = [message("A28", pid=PID.format(k, v), control=k) for k, v in names.items()]
-    texts += [message("A40", pid=PID.format(b, names[b]), mrg=f"MRG|{a}^^^HOSP^MR", control=f"m{i}") for i, (a, b) in enumerate(merges)]
-    registry, acks = adt.apply_adt(reg.Registry(spark), adt_rows(spark, texts), "hosp", cfg, at(1))
+    cases = [([("1", "2"), ("1", "3")], "3"), ([("1", "2"), ("2", "1")], "2"), ([("1", "2"), ("2", "3"), ("3", "1")], "3")]
+    names = {"1": "Smith", "2": "Khan", "3": "Olds"}
+    people, merges = [], []
+    for c, (pairs, _) in enumerate(cases):
+        mine = "ABC"[c]
+        pid = lambda k: PID.format(mine + k, names[k] + mine)  # noqa: E731,B023
+        people += [message("A28", pid=pid(k), control=mine + k) for k in names]
+        merges += [message("A40", pid=pid(b), mrg=f"MRG|{mine}{a}^^^HOSP^MR", control=f"m{mine}{i}") for i, (a, b) in enumerate(pairs)]
+    registry, acks = adt.apply_adt(reg.Registry(spark), adt_rows(spark, people + merges), "hosp", cfg, at(1))
     assert {r["ack_code"] for r in acks.collect()} == {"AA"}
-    touched = {x for m in merges for x in m}
     owned = {r["local_id"]: r["enterprise_id"] for r in registry["source_patients"].collect()}
-    assert len({owned[x] for x in touched}) == 1
+    fresh = hashing.new_enterprise_id(F.lit("t1"), F.lit("hosp"), F.col("k"))
+    own = {r["k"]: r["id"] for r in spark.createDataFrame([(k,) for k in owned], "k string").select("k", fresh.alias("id")).collect()}
+    for c, (pairs, survivor) in enumerate(cases):
+        touched = {"ABC"[c] + x for pair in pairs for x in pair}
+        assert {owned[x] for x in touched} == {own["ABC"[c] + survivor]}
     active = {r["enterprise_id"] for r in registry["canonical_patients"].where("is_active").collect()}
-    assert active == set(owned.values()) and len(active) == 4 - len(touched)
-    first = adt.apply_adt(reg.Registry(spark), adt_rows(spark, texts[:3]), "hosp", cfg, at(1))[0]
-    own = {r["local_id"]: r["enterprise_id"] for r in first["source_patients"].collect()}
-    assert owned[survivor] == own[survivor]
+    assert active == set(owned.values()) and len(active) == 1 + 2 + 1
 
 
 def test_replaced_by_chains_and_rings(spark):
