@@ -201,12 +201,42 @@ def audit_written(spark, sf_dir):
     return made.select("enterprise_id", "action", "actor", "outcome", "reason", same)
 
 
+def person_links(spark, sf_dir):
+    """Links of persons to their sources: one in three was there before, one of those for another resource."""
+    from kinweave.plans.maintenance import build_person_links
+
+    sources = linked_sources(spark, sf_dir).select("tenant_id", "enterprise_id", "source_system", "local_id", "resource_id", "k")
+    before = sources.where("k % 3 = 0").select(
+        "tenant_id", "enterprise_id", "source_system", "local_id",
+        F.when(F.col("k") % 9 != 0, F.col("resource_id")).otherwise("src-other").alias("source_resource_id"),
+        F.lit("Level4").alias("assurance"), F.to_timestamp(F.lit("2023-05-01 00:00:00")).alias("linked_at"), F.lit("first load").alias("reason"))
+    made = build_person_links(sources.drop("k"), before, now())
+    return made.select("enterprise_id", "local_id", "assurance", F.to_date("linked_at").alias("linked"), "_kept").withColumnRenamed("_kept", "kept")
+
+
+def effective_approvals(spark, sf_dir):
+    """How many approvals reviews of neighbouring customers need once the policy asks for one."""
+    from dataclasses import replace
+
+    from kinweave.plans import review
+    from kinweave.sources import derived
+
+    cfg = replace(derived.demo_config(), required_approvals=1)
+    crm = people(spark, sf_dir).where("source_system = 'crm'").select("tenant_id", "enterprise_id", "profile", "k")
+    cases = crm.select(
+        "tenant_id", F.concat(F.lit("r"), F.col("k").cast("string")).alias("id"), F.col("enterprise_id").alias("subject_id"),
+        F.concat(F.lit("crm-"), (F.col("k") + 2).cast("string")).alias("candidate_id"),
+        F.when(F.col("k") % 7 == 0, "Split").otherwise("ManualDuplicate").alias("kind"), (F.col("k") % 5 == 0).alias("policy_locked"),
+        F.when(F.col("k") % 4 == 1, 1).otherwise(2).alias("required_approvals"))
+    return review.effective_approvals(cases, crm.drop("k"), cfg).select("id", "effective_approvals")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         search_persons, search_reviews, search_audit, search_jobs, last_windows, priority_reviews, operational_summary, reconcile_totals,
         calibration_loss, dataset_digest, idempotency_keys, registry_ids, source_owners, new_and_known, point_lookups, quarantined_people,
-        identity_persons, ordered_sources, ack_totals, audit_written,
+        identity_persons, ordered_sources, ack_totals, audit_written, person_links, effective_approvals,
     )
 }
 
@@ -254,6 +284,11 @@ def oracles() -> dict[str, str]:
         "ordered_sources": _with(_LINKED) + "select identity as enterprise_id, local_id, ord as position from ranked",
         "ack_totals": "with " + _EVENTS.strip() + """
             select case when error is null then 'AA' else 'AR' end as ack_code, event_id % 3 = 0 as is_replay, count(*) as messages from e group by all""",
+        "person_links": _with() + """select 'P' || k as enterprise_id, local_id, case when k % 3 = 0 and k % 9 <> 0 then 'Level4' else 'Level2' end as assurance,
+            case when k % 3 = 0 and k % 9 <> 0 then date '2023-05-01' else date '2024-03-01' end as linked, k % 3 = 0 and k % 9 <> 0 as kept from p""",
+        "effective_approvals": _with() + """select 'r' || a.k as id, case when a.k % 4 = 1 then 1 when a.k % 7 = 0 or a.k % 5 = 0 or b.k is null then 2
+            when a.vouched and b.vouched and a.nhs <> b.nhs then 2 else 1 end as effective_approvals
+            from p a left join p b on b.source_system = 'crm' and b.k = a.k + 2 where a.source_system = 'crm'""",
         "audit_written": f"""select enterprise_id, 'rebuild' as action, 'maintenance' as actor, 'success' as outcome,
             'quarterly rebuild' as reason, 1::bigint as same_id from {person}""",
     }
