@@ -267,7 +267,7 @@ def learn_from(docs: DataFrame, learnable, text: str = "text", lang: str = "lang
     return learn([t for _, _, t in taken], [label for label, _, _ in taken], fit)
 
 
-def predict(docs: DataFrame, model: Field | None, text: str = "text", out: str = "_lang", batch_chars: int = 1 << 20) -> DataFrame:
+def predict(docs: DataFrame, model: Field | None, text: str = "text", out: str = "_lang", batch_chars: int = 1 << 19) -> DataFrame:
     """``docs`` with a struct ``out``: language, score, words, and the runs of labelled words.
 
     Texts that are null or have no letter are ``und`` with score 0; so is everything where nothing
