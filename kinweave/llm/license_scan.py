@@ -1,9 +1,9 @@
 """Licences in whole texts, by the Dice coefficient of word bigrams with licence templates.
 
-A text is compared as a whole, by paragraph, by block of comment lines and by line. All of it is
-DataFrame operations on the row, without a shuffle: a template is compared only with units whose
-number of bigrams allows the threshold, and texts in which no template could reach it are left out by
-their words.
+A text is compared as a whole, by paragraph, by block of comment lines, by line, and by windows of
+consecutive sentences and paragraphs. All of it is DataFrame operations on the row, without a shuffle:
+a template is compared only with units whose number of bigrams allows the threshold, and texts in which
+no template could reach it are left out by their words.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ _COPYRIGHT = r"[ \t]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
 _WORD = r"[\p{L}\p{N}]++(?:[.][0-9]++)*+"
 _BLANK = r"\n[ \t\r]*\n"
 _COMMENTS = rf"(?:(?<![^\n]){_COMMENT}[^\n]*+(?:\n|$)){{2,}}+"
+#: Ends of sentences and paragraphs; empty comment lines are blank once their marks are gone.
+_BREAK = r"(?<=[.!?;:])[\x22\x27)\]]*\s+|\n[ \t\r]*\n"
+#: A window holds at most so many times the bigrams that the size bound allows distinct ones.
+_REPEATS = 4
 #: Words too common to tell a licence by.
 _COMMON = frozenset("a all an and any are as at be by for from in is it its may not of on or other that the this to under use with you".split())
 
@@ -69,15 +73,60 @@ def _raw(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+#: Distinct bigrams of the words ``w``.
+_GRAMS = "if(size(w) < 2, cast(array() as array<string>), array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _plain(body: str) -> str:
+    """Lower case, without comment marks and copyright lines."""
+    for pattern in (_COMMENT, _COPYRIGHT):
+        body = f"regexp_replace({body if pattern is _COPYRIGHT else f'lower({body})'}, {_raw(rf'(^|\n){pattern}')}, '$1 ')"
+    return body
+
+
+def _split_words(plain: str) -> str:
+    return f"regexp_extract_all(replace({plain}, 'licence', 'license'), {_raw(_WORD)}, 0)"
+
+
+def _pieces() -> str:
+    """Lines of sentences: distinct bigrams ``g``, bigram ``c`` into the next piece, whether a sentence starts and ends with it."""
+    lines = f"filter(transform(split(h, '\\n'), x -> {_split_words('x')}), w -> size(w) > 0)"
+    flags = _let("l", lines, "transform(l, (w, k) -> named_struct('w', w, 'opens', k = 0, 'closes', k = size(l) - 1))")
+    cut = f"flatten(transform(split({_plain('_body')}, {_raw(_BREAK)}), h -> {flags}))"
+    return _let("ps", cut, f"""transform(ps, (p, k) -> named_struct('g', {_let('w', 'p.w', _GRAMS)},
+      'c', concat(element_at(p.w, -1), ' ', get(ps, k + 1).w[0]), 'opens', p.opens, 'closes', p.closes))""")
+
+
+def _windows(threshold: float) -> str:
+    """Pairs (i, j) of pieces, as i * 2^32 + j, between which a window may reach the threshold with template ``t``.
+
+    At its ends are pieces of which a share of half the threshold lies in the template: others only lower
+    the coefficient. It starts and ends with a sentence, or where such pieces start and end.
+    """
+    spread = lambda sizes: f"aggregate({sizes}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x + 1)))"
+    pairs = f"""flatten(transform(filter(sequence(0, size(_p) - 1), i -> r[i] and (_p[i].opens or not coalesce(get(r, i - 1), false))), i ->
+      transform(filter(sequence(i, least(i + {_REPEATS} * t.high, size(_p) - 1)), j -> r[j] and (_p[j].closes or not coalesce(get(r, j + 1), false))
+        and sums[j + 1] - sums[i] > t.low and ends[j + 1] - ends[i] <= {_REPEATS} * t.high + 1), j -> shiftleft(bigint(i), 32) + j)))"""
+    pairs = _let("ends", spread("transform(_p, p -> size(p.g))"), pairs)
+    pairs = _let("sums", spread("s"), pairs)
+    pairs = _let("r", f"transform(s, (x, k) -> x > 0 and x >= {threshold / 2}D * size(_p[k].g))", pairs)
+    return _let("s", "transform(_p, p -> size(array_intersect(p.g, t.grams)))", pairs)
+
+
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(doc_id, license, dice, unit, licenses) of every row.
 
-    ``license`` is the template that comes nearest in any unit (whole, paragraph, comment, line: then
-    ``unit``), with its coefficient; of equals the larger template, then the first by name, then the
+    ``license`` is the template that comes nearest in any unit (whole, paragraph, comment, line, window:
+    then ``unit``), with its coefficient; of equals the larger template, then the first by name, then the
     first unit by name. ``licenses`` names all that reach the threshold, sorted and comma-joined, and
-    is empty where none does; license, dice and unit are null then. Null and empty texts have none.
+    is empty where none does; license, dice and unit are null then. Windows are runs of consecutive
+    sentences, also across paragraphs and comment lines; a window counts for its nearest template alone. Null and empty texts have none.
     Repeated rows and null ids come back as they are; other columns are not read.
     """
     prepared = [(name, bigrams(body)) for name, body in templates]
@@ -88,24 +137,30 @@ def scan(
         structs.append(f"named_struct('id', '{name}', 'm', {len(grams)}, 'low', {low}, 'high', {high}, 'grams', {_literal(grams)})")
     hints |= {h.replace("license", "licence") for h in hints}
     known = f"array({', '.join(structs)})"
-    plain = f"regexp_replace(regexp_replace(lower(u.body), {_raw(f'(^|\n){_COMMENT}'.replace(chr(10), '\\n'))}, '$1 '), {_raw(f'(^|\n){_COPYRIGHT}'.replace(chr(10), '\\n'))}, '$1 ')"
-    split_words = f"regexp_extract_all(replace({plain}, 'licence', 'license'), {_raw(_WORD)}, 0)"
+    near = """transform(filter(_known, t -> size(g) between t.low and t.high), t ->
+      named_struct('dice', cast(2 * size(array_intersect(g, t.grams)) as double) / (size(g) + t.m), 'm', t.m, 'id', t.id, 'unit', _unit))"""
+    order = "case when a.dice <> b.dice then if(a.dice > b.dice, -1, 1) when a.m <> b.m then b.m - a.m when a.id <> b.id then if(a.id < b.id, -1, 1) when a.unit < b.unit then -1 when a.unit > b.unit then 1 else 0 end"
+    reached = f"filter({near}, x -> x.dice >= {threshold}D)"
     unit = "named_struct('unit', '{}', 'body', {})".format
     units = f"""concat(
       transform(split(_body, '\\n'), x -> {unit('line', 'x')}),
       transform(filter(split(_body, {_raw(_BLANK)}), x -> contains(x, '\\n')), x -> {unit('paragraph', 'x')}),
       transform(regexp_extract_all(_body, {_raw(_COMMENTS)}, 0), x -> {unit('comment', 'x')}),
       if(contains(_body, '\\n'), array({unit('whole', '_body')}), array()))"""
-    grams = "if(size(w) < 2, cast(array() as array<string>), array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))))"
-    near = """transform(filter(_known, t -> size(g) between t.low and t.high), t ->
-      named_struct('dice', cast(2 * size(array_intersect(g, t.grams)) as double) / (size(g) + t.m), 'm', t.m, 'id', t.id, 'unit', u.unit))"""
-    found = f"""flatten(transform({units}, u ->
-      transform(array({split_words}), w -> transform(array({grams}), g -> filter({near}, x -> x.dice >= {threshold}D))[0])[0]))"""
-    order = "case when a.dice <> b.dice then if(a.dice > b.dice, -1, 1) when a.m <> b.m then b.m - a.m when a.id <> b.id then if(a.id < b.id, -1, 1) when a.unit < b.unit then -1 when a.unit > b.unit then 1 else 0 end"
+    found = f"flatten(transform({units}, u -> {_let('w', _split_words(_plain('u.body')), _let('g', _GRAMS, reached.replace('_unit', 'u.unit')))}))"
+    window = "array_distinct(concat(flatten(transform(slice(_p, v.i + 1, v.j - v.i), p -> concat(p.g, array(p.c)))), _p[v.j].g))"
+    nearest = f"slice(array_sort({reached.replace('_unit', repr('window'))}, (a, b) -> {order}), 1, 1)"
+    windows = f"""if(size(_own) = 0, array(), flatten(transform(
+      array_distinct(flatten(transform(_own, t -> {_windows(threshold)}))), n -> {_let('v', "named_struct('i', int(shiftright(n, 32)), 'j', int(n & 4294967295))", _let('g', window, nearest.replace('_known', '_own')))})))"""
+    own = f"""{_let('b', "array_distinct(flatten(transform(_p, p -> if(p.c is null, p.g, concat(p.g, array(p.c))))))",
+                    f"filter({known}, t -> size(b) >= t.low and size(array_intersect(b, t.grams)) >= t.low)")}"""
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
     hinted = f"arrays_overlap(split(lower(_body), {_raw('[^\\p{L}\\p{N}]+')}), {_literal(sorted(hints))})"
-    matched = computed_once(rows, {"_found": F.expr(
-        f"case when {hinted} then array_sort({found.replace('_known', known)}, (a, b) -> {order}) else array() end")})
+    hinted_rows = computed_once(rows, {"_hinted": F.expr(hinted)})
+    pieces = computed_once(hinted_rows, {"_p": F.expr(f"case when _hinted then {_pieces()} end")})
+    chosen = computed_once(pieces, {"_own": F.expr(f"case when _hinted then {own} else array() end")})
+    matched = computed_once(chosen, {"_found": F.expr(
+        f"case when _hinted then array_sort(concat({found.replace('_known', known)}, {windows}), (a, b) -> {order}) else array() end")})
     return matched.select(
         F.col("_id").alias(doc_id), F.expr("get(_found, 0).id").alias("license"), F.expr("get(_found, 0).dice").alias("dice"),
         F.expr("get(_found, 0).unit").alias("unit"), F.expr("coalesce(array_join(array_sort(array_distinct(transform(_found, x -> x.id))), ','), '')").alias("licenses"))

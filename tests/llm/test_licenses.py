@@ -62,3 +62,34 @@ def test_bounds_and_triggers_are_exact():
         words = license_scan.triggers(grams, 0.8)
         without = sum(not words & set(g.split()) for g in grams)
         assert without < license_scan.bounds(len(grams), 0.8)[0]
+
+
+def published(name):
+    """The template's sentences that begin a paragraph where it is published, as paragraphs."""
+    starts = {"MIT": ("The above", "THE SOFTWARE IS"), "GPL-3.0": ("This program is distributed",)}[name]
+    text = next(body for known, body in TEMPLATES if known == name)
+    for start in starts:
+        text = text.replace(start, f"\n\n{start}")
+    return [" ".join(p.split()) for p in text.split("\n\n")]
+
+
+def test_licences_of_several_paragraphs_inside_long_texts(spark):
+    draw = random.Random(2)
+    prose = lambda: "\n\n".join(" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(60)) + "." for _ in range(4))
+    mit, gpl = ("\n\n".join(textwrap.fill(p, 70) for p in published(n)) for n in ("MIT", "GPL-3.0"))
+    marked = lambda mark, text: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    rows = [
+        (1, f"{prose()}\n\n## Licence\n\nCopyright (c) 2020 Someone\n\n{mit}\n\n{prose()}"),
+        (2, marked("#", f"{prose()}\n\n{gpl}") + "\ncode = 1\n"),
+        (3, "/*\n" + marked(" *", f"{prose()}\n\n{mit}") + "\n */\ncode = 1\n"),
+        (4, f"{prose()} Released under the MIT License. {prose()}"),
+        (5, f"{prose()}\n{' '.join(mit.split())} {prose()} {' '.join(gpl.split())}\n{prose()}"),
+        (6, prose()),
+        (7, "Released under the MIT License.\n" * 500),
+        (8, f"{prose()}\n\n{published('MIT')[0]}\n\n{prose()}\n\n{published('MIT')[1]}\n\n{prose()}"),
+    ]
+    got = {r[0]: r[1:] for r in scan(spark, rows)}
+    assert got[1] == ("MIT", 1.0, "window", "MIT") and got[3] == ("MIT", 1.0, "window", "MIT")
+    assert got[2] == ("GPL-3.0", 1.0, "window", "GPL-3.0") and got[4] == ("MIT", 1.0, "window", "MIT")
+    assert got[5] == ("MIT", 1.0, "window", "GPL-3.0,MIT") and got[7] == ("MIT", 1.0, "line", "MIT")
+    assert got[6] == got[8] == (None, None, None, "")
