@@ -25,10 +25,12 @@ _COPYRIGHT = r"[ \t]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
 _WORD = r"[\p{L}\p{N}]++(?:[.][0-9]++)*+"
 _BLANK = r"\n[ \t\r]*\n"
 _COMMENTS = rf"(?:(?<![^\n]){_COMMENT}[^\n]*+(?:\n|$)){{2,}}+"
-#: Ends of sentences and paragraphs; empty comment lines are blank once their marks are gone.
-_BREAK = r"(?<=[.!?;:])[\x22\x27)\]]*\s+|\n[ \t\r]*\n"
+#: Ends of sentences.
+_BREAK = r"(?<=[.!?;:])[\x22\x27)\]]*\s+"
 #: A window holds at most so many times the bigrams that the size bound allows distinct ones.
 _REPEATS = 4
+#: Windows for templates of more bigrams start and end with paragraphs, not with every sentence.
+_LONG = 300
 #: Words too common to tell a licence by.
 _COMMON = frozenset("a all an and any are as at be by for from in is it its may not of on or other that the this to under use with you".split())
 
@@ -93,28 +95,34 @@ def _split_words(plain: str) -> str:
 
 
 def _pieces() -> str:
-    """Lines of sentences: distinct bigrams ``g``, bigram ``c`` into the next piece, whether a sentence starts and ends with it."""
+    """Lines of sentences: distinct bigrams ``g``, bigram ``c`` into the next piece, whether a sentence and a paragraph start and end with it.
+
+    Empty comment lines part paragraphs: they are blank once their marks are gone.
+    """
     lines = f"filter(transform(split(h, '\\n'), x -> {_split_words('x')}), w -> size(w) > 0)"
     flags = _let("l", lines, "transform(l, (w, k) -> named_struct('w', w, 'opens', k = 0, 'closes', k = size(l) - 1))")
-    cut = f"flatten(transform(split({_plain('_body')}, {_raw(_BREAK)}), h -> {flags}))"
+    sentences = f"flatten(transform(split(q, {_raw(_BREAK)}), h -> {flags}))"
+    marked = _let("ss", sentences, "transform(ss, (p, k) -> named_struct('w', p.w, 'opens', p.opens, 'closes', p.closes, 'begins', k = 0, 'ends', k = size(ss) - 1))")
+    cut = f"flatten(transform(split({_plain('_body')}, {_raw(_BLANK)}), q -> {marked}))"
     return _let("ps", cut, f"""transform(ps, (p, k) -> named_struct('g', {_let('w', 'p.w', _GRAMS)},
-      'c', concat(element_at(p.w, -1), ' ', get(ps, k + 1).w[0]), 'opens', p.opens, 'closes', p.closes))""")
+      'c', concat(element_at(p.w, -1), ' ', get(ps, k + 1).w[0]), 'opens', p.opens, 'closes', p.closes, 'begins', p.begins, 'ends', p.ends))""")
 
 
 def _windows(threshold: float) -> str:
     """Pairs (i, j) of pieces, as i * 2^32 + j, between which a window may reach the threshold with template ``t``.
 
     At its ends are pieces of which a share of half the threshold lies in the template: others only lower
-    the coefficient. It starts and ends with a sentence, or where such pieces start and end.
+    the coefficient. It starts and ends with a sentence (for long templates, a paragraph), or where such
+    pieces start and end.
     """
     spread = lambda sizes: f"aggregate({sizes}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x + 1)))"
-    pairs = f"""flatten(transform(filter(sequence(0, size(_p) - 1), i -> r[i] and (_p[i].opens or not coalesce(get(r, i - 1), false))), i ->
-      transform(filter(sequence(i, least(i + {_REPEATS} * t.high, size(_p) - 1)), j -> r[j] and (_p[j].closes or not coalesce(get(r, j + 1), false))
+    pairs = f"""flatten(transform(filter(sequence(0, size(_p) - 1), i -> r[i] and (if(t.m > {_LONG}, _p[i].begins, _p[i].opens) or not coalesce(get(r, i - 1), false))), i ->
+      transform(filter(sequence(i, least(i + {_REPEATS} * t.high, size(_p) - 1)), j -> r[j] and (if(t.m > {_LONG}, _p[j].ends, _p[j].closes) or not coalesce(get(r, j + 1), false))
         and sums[j + 1] - sums[i] > t.low and ends[j + 1] - ends[i] <= {_REPEATS} * t.high + 1), j -> shiftleft(bigint(i), 32) + j)))"""
     pairs = _let("ends", spread("transform(_p, p -> size(p.g))"), pairs)
     pairs = _let("sums", spread("s"), pairs)
     pairs = _let("r", f"transform(s, (x, k) -> x > 0 and x >= {threshold / 2}D * size(_p[k].g))", pairs)
-    return _let("s", "transform(_p, p -> size(array_intersect(p.g, t.grams)))", pairs)
+    return _let("s", "transform(_p, p -> size(array_intersect(t.grams, p.g)))", pairs)
 
 
 def scan(
@@ -126,7 +134,8 @@ def scan(
     then ``unit``), with its coefficient; of equals the larger template, then the first by name, then the
     first unit by name. ``licenses`` names all that reach the threshold, sorted and comma-joined, and
     is empty where none does; license, dice and unit are null then. Windows are runs of consecutive
-    sentences, also across paragraphs and comment lines; a window counts for its nearest template alone. Null and empty texts have none.
+    sentences, also across paragraphs and comment lines (for templates of more than 300 bigrams, of
+    consecutive paragraphs or all that resembles the template); a window counts for its nearest template alone. Null and empty texts have none.
     Repeated rows and null ids come back as they are; other columns are not read.
     """
     prepared = [(name, bigrams(body)) for name, body in templates]
@@ -134,7 +143,7 @@ def scan(
     for name, grams in prepared:
         low, high = bounds(len(grams), threshold)
         hints |= triggers(grams, threshold)
-        structs.append(f"named_struct('id', '{name}', 'm', {len(grams)}, 'low', {low}, 'high', {high}, 'grams', {_literal(grams)})")
+        structs.append(f"named_struct('id', '{name}', 'm', {len(grams)}, 'low', {low}, 'high', {high}, 'grams', split('{'|'.join(grams)}', '[|]'))")
     hints |= {h.replace("license", "licence") for h in hints}
     known = f"array({', '.join(structs)})"
     near = """transform(filter(_known, t -> size(g) between t.low and t.high), t ->
@@ -153,7 +162,8 @@ def scan(
     windows = f"""if(size(_own) = 0, array(), flatten(transform(
       array_distinct(flatten(transform(_own, t -> {_windows(threshold)}))), n -> {_let('v', "named_struct('i', int(shiftright(n, 32)), 'j', int(n & 4294967295))", _let('g', window, nearest.replace('_known', '_own')))})))"""
     own = f"""{_let('b', "array_distinct(flatten(transform(_p, p -> if(p.c is null, p.g, concat(p.g, array(p.c))))))",
-                    f"filter({known}, t -> size(b) >= t.low and size(array_intersect(b, t.grams)) >= t.low)")}"""
+                    f"""filter(transform(filter({known}, t -> size(b) >= t.low), t ->
+                      named_struct('id', t.id, 'm', t.m, 'low', t.low, 'high', t.high, 'grams', array_intersect(b, t.grams))), t -> size(t.grams) >= t.low)""")}"""
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
     hinted = f"arrays_overlap(split(lower(_body), {_raw('[^\\p{L}\\p{N}]+')}), {_literal(sorted(hints))})"
     hinted_rows = computed_once(rows, {"_hinted": F.expr(hinted)})

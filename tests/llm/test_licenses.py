@@ -93,3 +93,15 @@ def test_licences_of_several_paragraphs_inside_long_texts(spark):
     assert got[2] == ("GPL-3.0", 1.0, "window", "GPL-3.0") and got[4] == ("MIT", 1.0, "window", "MIT")
     assert got[5] == ("MIT", 1.0, "window", "GPL-3.0,MIT") and got[7] == ("MIT", 1.0, "line", "MIT")
     assert got[6] == got[8] == (None, None, None, "")
+
+
+def test_near_twins_get_their_own_name(spark):
+    draw = random.Random(3)
+    prose = lambda: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(60)) + "."
+    names = ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Apache-2.0", "MPL-2.0")
+    texts = [(name, body) for name, body in TEMPLATES if name in names and len(body) > 100]
+    assert {n for n, body in texts if len(body) > 5000} == set(names[2:])
+    assert {n for n, body in texts if len(body) < 2000} == set(names)
+    got = {r[0]: r[1:] for r in scan(spark, [(i, f"{prose()}\n\n{body}\n\n{prose()}") for i, (_, body) in enumerate(texts)])}
+    for i, (name, _) in enumerate(texts):
+        assert got[i][:2] == (name, 1.0), (name, got[i])
