@@ -1,6 +1,6 @@
 """DuckDB SQL that computes results of the registered queries another way."""
 
-from kinweave.llm import license_scan
+from kinweave.llm import laesa_codes, lemp_search, license_scan, mixing
 
 #: sha1 of the whole payload; the largest page of equal payloads of 1000 bytes or more is stored.
 _WARC = """
@@ -35,4 +35,7 @@ ORACLES: dict[str, str] = {
     "op1_warc": _WARC,
     "op2_licenses": license_scan.oracle(),
     "op5_near_vectors": _NEAR_VECTORS,
+    "op11_lexical": lemp_search.oracle(),
+    "op12_vector_codes": laesa_codes.oracle(),
+    "op13_mixing": mixing.oracle(),
 }

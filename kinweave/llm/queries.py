@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import hyperplane_dedup, lang_crf, license_scan, multi_index, pfor, piece_spans, pii_bootstrap, simhash_popcount, vector_packing, warc
+from kinweave.llm import (
+    hyperplane_dedup, laesa_codes, lang_crf, lemp_search, license_scan, mixing, multi_index, pfor, piece_spans, pii_bootstrap,
+    simhash_popcount, vector_packing, warc,
+)
 from kinweave.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -52,6 +55,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.encode_corpus(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa_codes.encode(read(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -63,4 +78,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_token_ids": op10_token_ids,
+    "op11_lexical": op11_lexical,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_mixing": op13_mixing,
 }

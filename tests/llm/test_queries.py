@@ -31,7 +31,7 @@ def run(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     result = db.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
