@@ -19,10 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import short_batches
+
 UNDECIDED = "und"
 #: Runs of letters; signs like superscript digits are sorted out by ``isalpha``.
 _WORD = re.compile(r"[^\W\d_]+")
 _NGRAMS = (1, 2, 3, 4)
+#: Words whose steps are multiplied up one after the other; blocks of all texts advance side by side.
+BLOCK = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +91,7 @@ def hashed_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndar
     return hashes[valid], np.cumsum(counts) - counts
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, float]:
     """Exact marginals of many sequences at once.
 
     ``scores`` holds the sequences one after the other (words x languages). Each is cut into blocks;
@@ -267,22 +271,26 @@ def learn_from(docs: DataFrame, learnable, text: str = "text", lang: str = "lang
     return learn([t for _, _, t in taken], [label for label, _, _ in taken], fit)
 
 
-def predict(docs: DataFrame, model: Field | None, text: str = "text", out: str = "_lang", batch_chars: int = 1 << 19) -> DataFrame:
+def predict(docs: DataFrame, model: Field | None, text: str = "text", out: str = "_lang", batch_chars: int = 1 << 18, batch_cells: int = 1 << 20) -> DataFrame:
     """``docs`` with a struct ``out``: language, score, words, and the runs of labelled words.
 
     Texts that are null or have no letter are ``und`` with score 0; so is everything where nothing
-    could be learned. ``switches`` counts the places where the likeliest language changes.
+    could be learned. ``switches`` counts the places where the likeliest language changes. Texts are
+    labelled together as long as they hold ``batch_chars`` characters at most, and their blocks of
+    words ``batch_cells`` step weights (words of a block x languages, and languages squared).
     """
+    n_labels = len(model.languages) if model else 1
+    block_cells = BLOCK * n_labels + n_labels * n_labels
 
     @F.pandas_udf("struct<lang:string,score:double,words:long,switches:long>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             held: list[list[str]] = []
-            size = 0
+            size = cells = 0
 
             def flush() -> None:
-                nonlocal size
+                nonlocal size, cells
                 marginal, lengths = label_words(model, held)
                 ends = np.cumsum(lengths)
                 best = marginal.argmax(axis=1)
@@ -297,22 +305,24 @@ def predict(docs: DataFrame, model: Field | None, text: str = "text", out: str =
                     score = float(min(1.0, max(0.0, mean[k])))
                     rows.append((model.languages[k], score, n, int(change[end - 1] - change[end - n])))
                 held.clear()
-                size = 0
+                size = cells = 0
 
             for one in batch:
                 if model is None:
                     rows.append((UNDECIDED, 0.0, 0, 0))
                     continue
                 one = one if isinstance(one, str) else ""
-                held.append(words_of(one))
-                size += len(one)
-                if size > batch_chars:
+                found = words_of(one)
+                if held and (size + len(one) > batch_chars or cells + -(-len(found) // BLOCK) * block_cells > batch_cells):
                     flush()
+                held.append(found)
+                size += len(one)
+                cells += -(-len(found) // BLOCK) * block_cells
             if held:
                 flush()
             yield pd.DataFrame(rows, columns=["lang", "score", "words", "switches"])
 
-    return docs.withColumn(out, label(F.col(text)))
+    return short_batches(docs).withColumn(out, label(F.col(text)))
 
 
 def held_out(key: str = "doc_id"):

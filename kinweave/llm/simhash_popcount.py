@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import stage
+from kinweave.llm.common import short_batches, stage
 from kinweave.llm.components import connected_components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
             found = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
             yield pd.Series(found.view(np.int64))
 
-    return docs.withColumn(out, of(F.col(text)))
+    return short_batches(docs).withColumn(out, of(F.col(text)))
 
 
 def _popcounts(fp: str) -> str:
@@ -141,14 +141,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group: those whose id is the component's id.
 
-    All columns stay. Of repeated rows with one id one stays. Rows without an id stay only where no
-    document with an id is in their group, one for each fingerprint.
+    Only fingerprints that differ in two bits or fewer link, so exact copies and copies with few
+    changed words go, and looser ones stay. All columns stay, whatever their names. Of repeated rows
+    with one id one stays. Rows without an id stay only where no document with an id is in their
+    group, one for each fingerprint.
     """
     groups = stage(components(docs, doc_id, text), "simhash-groups")
     first = groups.where(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
     kept = docs.join(first, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns)
     lone = groups.where(F.col(doc_id).isNull() & F.col("component_id").isNull()).select(
-        F.col("fingerprint").alias("_lone")).distinct()
-    nameless = fingerprints(docs.where(F.col(doc_id).isNull()), text, "_fp").withColumn(
-        "_fp", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).dropDuplicates(["_fp"])
-    return kept.unionByName(nameless.join(lone, F.col("_fp") == F.col("_lone"), "left_semi").select(docs.columns))
+        F.col("fingerprint").alias("lone")).distinct()
+    bare = docs.where(F.col(doc_id).isNull()).select(F.struct("*").alias("row"), F.col(text).alias("body"))
+    nameless = fingerprints(bare, "body", "fp").dropDuplicates(["fp"]).select(
+        "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("own"))
+    return kept.unionByName(nameless.join(lone, F.col("own") == F.col("lone"), "left_semi").select("row.*"))

@@ -55,5 +55,7 @@ def test_keep_first(spark):
     kept = sp.keep_first(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "alone in the world"), (1, long), (2, "other text here")]
+    clash = spark.createDataFrame([(i, t, 9, "x") for i, t, _, _ in rows], "doc_id long, text string, _fp int, lone string")
+    assert sp.keep_first(clash).columns == ["doc_id", "text", "_fp", "lone"] and sp.keep_first(clash).count() == 3
     empty = spark.createDataFrame([], SCHEMA)
     assert sp.components(empty).count() == 0 and sp.keep_first(empty).count() == 0
