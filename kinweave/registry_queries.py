@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import hashing, text
 from kinweave.operators import assurance, blocking, quality, survivorship
+from kinweave.operators.ordered_merges import merge_in_order
 from kinweave.plans import registry as reg
 from kinweave.plans import search
 from kinweave.queries import adt_messages, linked_sources, now, people
-from kinweave.sources import hl7
+from kinweave.sources import derived, hl7
+from kinweave.streaming import adt
 
 # ---- derived tables, and the same rules for DuckDB ------------------------------------------------
 
@@ -193,6 +195,36 @@ def ack_totals(spark, sf_dir):
     return hl7.ack_counts(coded)
 
 
+#: A third of the merges name one survivor, some a record that nobody has.
+_MERGE_USER = "case when event_type = 'error' and event_id % 3 = 0 then 0 else user_id + 1000 * (event_id % 16) end"
+_MERGED_USER = "user_id + 1000 * ((event_id {div} 16) % 17)"
+
+
+def merge_messages(spark, sf_dir):
+    """One ADT message per event, of many records."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named = events.select(
+        "event_id", "event_type", F.col("ts").alias("arrival"), F.expr(_MERGE_USER).alias("user_id"), F.expr(_MERGED_USER.format(div="div")).alias("merged_id"))
+    return named.select("event_id", "arrival", F.expr(derived.ADT_TEXT.replace("user_id + 1 as", "merged_id as")).alias("message"))
+
+
+def adt_apply(spark, sf_dir):
+    """Every message applied to an empty registry: its answer, and the record whose identity its record ends up in."""
+    registry, acks = adt.apply_adt(reg.Registry(spark), merge_messages(spark, sf_dir), "hosp", derived.demo_config(), now())
+    homes = registry["source_patients"].select("local_id", "enterprise_id")
+    own = homes.select(hashing.new_enterprise_id(F.lit("demo"), F.lit("hosp"), F.col("local_id")).alias("enterprise_id"), F.col("local_id").alias("survivor"))
+    return acks.join(homes.join(own, "enterprise_id", "left").drop("enterprise_id"), "local_id", "left").select(
+        F.col("control_id").cast("long").alias("event_id"), "ack_code", "is_replay", "diagnostic", "survivor")
+
+
+def merges_in_order(spark, sf_dir):
+    """Every merge message on its own: which identity it retires into which, taken in the order of arrival."""
+    merges = merge_messages(spark, sf_dir)
+    parsed = hl7.parse_adt(merges, "hosp").where("error is null and previous_local_id <> local_id")
+    done = merge_in_order(parsed, "previous_local_id", "local_id", ["arrival", "event_id"])
+    return done.select("event_id", "retired", "survivor", "acts")
+
+
 def audit_written(spark, sf_dir):
     """Audit rows of a batch of identities, with the stable id left out."""
     rows = persons(spark, sf_dir).select("tenant_id", "enterprise_id", "version")
@@ -237,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_persons, search_reviews, search_audit, search_jobs, last_windows, priority_reviews, operational_summary, reconcile_totals,
         calibration_loss, dataset_digest, idempotency_keys, registry_ids, source_owners, new_and_known, point_lookups, quarantined_people,
         identity_persons, ordered_sources, ack_totals, audit_written, person_links, effective_approvals,
+        adt_apply, merges_in_order,
     )
 }
 
@@ -246,6 +279,20 @@ def oracles() -> dict[str, str]:
     from kinweave.oracles import _EVENTS, _LINKED, _with
 
     review, log, job, person = (_duck(r) for r in (_REVIEWS, _AUDIT, _JOBS, _PERSONS))
+    # owner[i]: the identity that record i is in; every merge in turn moves all records of one identity
+    walk = f"""with recursive e as (select * replace ({_MERGE_USER} as user_id), {_MERGE_USER} as u, {_MERGED_USER.format(div="//")} as merged,
+              case event_type when 'signup' then 'A28' when 'view' then 'A08' when 'click' then 'A31' when 'purchase' then 'A04' else 'A40' end as trigger,
+              case when event_id % 40 = 0 then 'Unread HL7 version: 2.7' when event_id % 90 = 7 then 'PID-7 is no date of birth.' end as error from events),
+            good as (select * from e where error is null),
+            both_ends as (select u from good where trigger = 'A40' and merged <> u union all select merged from good where trigger = 'A40' and merged <> u),
+            rec as (select u, row_number() over (order by u) as i from (select distinct u from good)),
+            m as (select row_number() over (order by ts, event_id) as n, event_id, o.i as old, w.i as new from (select * from e where error is null) g
+              join rec w on w.u = g.u join rec o on o.u = g.merged where trigger = 'A40' and g.merged <> g.u),
+            walk(n, event_id, was, now, acts, owner) as (
+              select cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast(null as bigint), false, (select list(i order by i) from rec)
+              union all select m.n, m.event_id, owner[old], owner[new], owner[old] <> owner[new],
+                case when owner[old] = owner[new] then owner else list_transform(owner, lambda x: case when x = owner[old] then owner[new] else x end) end
+              from walk join m on m.n = walk.n + 1) """
     word = lambda i: f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::ubigint)::varchar"
     return {
         "search_persons": f"select enterprise_id, version from {person} where is_active",
@@ -289,6 +336,13 @@ def oracles() -> dict[str, str]:
         "effective_approvals": _with() + """select 'r' || a.k as id, case when a.k % 4 = 1 then 1 when a.k % 7 = 0 or a.k % 5 = 0 or b.k is null then 2
             when a.vouched and b.vouched and a.nhs <> b.nhs then 2 else 1 end as effective_approvals
             from p a left join p b on b.source_system = 'crm' and b.k = a.k + 2 where a.source_system = 'crm'""",
+        "adt_apply": walk + f"""
+            select event_id, case when error is not null then 'AR' when unknown then 'AE' else 'AA' end as ack_code, false as is_replay,
+              case when error is not null then error when unknown then 'Not stored; the message may be sent again.' else 'Stored.' end as diagnostic,
+              (select 'U' || s.u from rec s where s.i = (select owner[r.i] from walk order by n desc limit 1)) as survivor
+            from (select *, trigger = 'A40' and u <> merged and merged not in (select u from rec) as unknown from e) left join rec r using (u)""",
+        "merges_in_order": walk.replace("select distinct u from good", "select distinct u from both_ends") + """
+            select event_id, 'U' || o.u as retired, 'U' || w.u as survivor, k.acts from walk k join rec o on o.i = k.was join rec w on w.i = k.now""",
         "audit_written": f"""select enterprise_id, 'rebuild' as action, 'maintenance' as actor, 'success' as outcome,
             'quarterly rebuild' as reason, 1::bigint as same_id from {person}""",
     }
