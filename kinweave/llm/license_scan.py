@@ -31,6 +31,8 @@ _BREAK = r"(?<=[.!?;:])[\x22\x27)\]]*\s+"
 _REPEATS = 4
 #: Windows for templates of more bigrams start and end with paragraphs, not with every sentence.
 _LONG = 300
+#: Numbers that are summed up at a time.
+_SUMS = 64
 #: Words too common to tell a licence by.
 _COMMON = frozenset("a all an and any are as at be by for from in is it its may not of on or other that the this to under use with you".split())
 
@@ -52,19 +54,22 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
 
 
-def triggers(grams: list[str], threshold: float) -> set[str]:
-    """Words of which every unit that reaches the threshold must have one.
+def triggers(grams: list[str], threshold: float) -> tuple[int, dict[str, int]]:
+    """(need, weights of words): a unit that reaches the threshold has words that weigh ``need`` together.
 
-    Such a unit shares at least as many bigrams as the lower bound; words are taken until the bigrams
-    without any of them are fewer than that.
+    Each bigram is laid to one of its words, tell-tale words first, and a word weighs the bigrams laid to
+    it. A unit that reaches the threshold shares at least the lower bound of bigrams; of these it can
+    have no more than its words weigh and the few that are laid to no word.
     """
-    need, open_, chosen = bounds(len(grams), threshold)[0], set(grams), set()
-    while len(open_) >= need:
+    low, open_, weights = bounds(len(grams), threshold)[0], set(grams), {}
+    while 4 * len(open_) >= low:
         counts = Counter(w for g in open_ for w in set(g.split()) if w.isalpha())
-        best = max(counts, key=lambda w: (w not in _COMMON, counts[w], w))
-        chosen.add(best)
+        best = max(counts, key=lambda w: (w not in _COMMON, counts[w], w), default=None)
+        if best is None:
+            break
+        weights[best] = counts[best]
         open_ = {g for g in open_ if best not in g.split()}
-    return chosen
+    return low - len(open_), weights
 
 
 def _literal(values) -> str:
@@ -108,6 +113,14 @@ def _pieces() -> str:
       'c', concat(element_at(p.w, -1), ' ', get(ps, k + 1).w[0]), 'opens', p.opens, 'closes', p.closes, 'begins', p.begins, 'ends', p.ends))""")
 
 
+def _spread(sizes: str) -> str:
+    """Sums of x + 1 over all beginnings of an array: first of whole blocks, then on from the block's."""
+    add = "0, (c, x) -> c + x + 1"
+    blocks = f"aggregate(sequence(0, size(v) div {_SUMS}), array(0), (a, k) -> concat(a, array(element_at(a, -1) + aggregate(slice(v, {_SUMS} * k + 1, {_SUMS}), {add}))))"
+    on = f"transform(sequence(0, size(v)), k -> sb[k div {_SUMS}] + aggregate(slice(v, {_SUMS} * (k div {_SUMS}) + 1, k % {_SUMS}), {add}))"
+    return _let("v", sizes, _let("sb", blocks, on))
+
+
 def _windows(threshold: float) -> str:
     """Pairs (i, j) of pieces, as i * 2^32 + j, between which a window may reach the threshold with template ``t``.
 
@@ -115,12 +128,11 @@ def _windows(threshold: float) -> str:
     the coefficient. It starts and ends with a sentence (for long templates, a paragraph), or where such
     pieces start and end.
     """
-    spread = lambda sizes: f"aggregate({sizes}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x + 1)))"
     pairs = f"""flatten(transform(filter(sequence(0, size(_p) - 1), i -> r[i] and (if(t.m > {_LONG}, _p[i].begins, _p[i].opens) or not coalesce(get(r, i - 1), false))), i ->
       transform(filter(sequence(i, least(i + {_REPEATS} * t.high, size(_p) - 1)), j -> r[j] and (if(t.m > {_LONG}, _p[j].ends, _p[j].closes) or not coalesce(get(r, j + 1), false))
         and sums[j + 1] - sums[i] > t.low and ends[j + 1] - ends[i] <= {_REPEATS} * t.high + 1), j -> shiftleft(bigint(i), 32) + j)))"""
-    pairs = _let("ends", spread("transform(_p, p -> size(p.g))"), pairs)
-    pairs = _let("sums", spread("s"), pairs)
+    pairs = _let("ends", _spread("transform(_p, p -> size(p.g))"), pairs)
+    pairs = _let("sums", _spread("s"), pairs)
     pairs = _let("r", f"transform(s, (x, k) -> x > 0 and x >= {threshold / 2}D * size(_p[k].g))", pairs)
     return _let("s", "transform(_p, p -> size(array_intersect(t.grams, p.g)))", pairs)
 
@@ -139,13 +151,15 @@ def scan(
     Repeated rows and null ids come back as they are; other columns are not read.
     """
     prepared = [(name, bigrams(body)) for name, body in templates]
-    structs, hints = [], set()
-    for name, grams in prepared:
+    structs, needs, hints = [], [], set()
+    for k, (name, grams) in enumerate(prepared):
         low, high = bounds(len(grams), threshold)
-        hints |= triggers(grams, threshold)
-        structs.append(f"named_struct('id', '{name}', 'm', {len(grams)}, 'low', {low}, 'high', {high}, 'grams', split('{'|'.join(grams)}', '[|]'))")
+        need, weights = triggers(grams, threshold)
+        hints |= set(weights)
+        needs.append(f"named_struct('k', {k}, 'need', {need}, 'words', map_from_arrays({_literal(weights)}, array({', '.join(map(str, weights.values()))})))")
+        structs.append(f"named_struct('k', {k}, 'id', '{name}', 'm', {len(grams)}, 'low', {low}, 'high', {high}, 'grams', split('{'|'.join(grams)}', '[|]'))")
     hints |= {h.replace("license", "licence") for h in hints}
-    known = f"array({', '.join(structs)})"
+    known = f"filter(array({', '.join(structs)}), t -> array_contains(_ok, t.k))"
     near = """transform(filter(_known, t -> size(g) between t.low and t.high), t ->
       named_struct('dice', cast(2 * size(array_intersect(g, t.grams)) as double) / (size(g) + t.m), 'm', t.m, 'id', t.id, 'unit', _unit))"""
     order = "case when a.dice <> b.dice then if(a.dice > b.dice, -1, 1) when a.m <> b.m then b.m - a.m when a.id <> b.id then if(a.id < b.id, -1, 1) when a.unit < b.unit then -1 when a.unit > b.unit then 1 else 0 end"
@@ -165,12 +179,15 @@ def scan(
                     f"""filter(transform(filter({known}, t -> size(b) >= t.low), t ->
                       named_struct('id', t.id, 'm', t.m, 'low', t.low, 'high', t.high, 'grams', array_intersect(b, t.grams))), t -> size(t.grams) >= t.low)""")}"""
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    hinted = f"arrays_overlap(split(lower(_body), {_raw('[^\\p{L}\\p{N}]+')}), {_literal(sorted(hints))})"
-    hinted_rows = computed_once(rows, {"_hinted": F.expr(hinted)})
-    pieces = computed_once(hinted_rows, {"_p": F.expr(f"case when _hinted then {_pieces()} end")})
-    chosen = computed_once(pieces, {"_own": F.expr(f"case when _hinted then {own} else array() end")})
+    met = f"array_intersect(split(lower(_body), {_raw('[^\\p{L}\\p{N}]+')}), {_literal(sorted(hints))})"
+    met_rows = computed_once(rows, {"_met": F.expr(f"array_distinct(transform({met}, w -> replace(w, 'licence', 'license')))")})
+    weighed = "aggregate(_met, 0, (a, w) -> a + coalesce(element_at(t.words, w), 0)) >= t.need"
+    able = f"if(size(_met) = 0, cast(array() as array<int>), transform(filter(array({', '.join(needs)}), t -> {weighed}), t -> t.k))"
+    hinted = computed_once(met_rows, {"_ok": F.expr(able)}).drop("_met")
+    pieces = computed_once(hinted, {"_p": F.expr(f"case when size(_ok) > 0 then {_pieces()} end")})
+    chosen = computed_once(pieces, {"_own": F.expr(f"case when size(_ok) > 0 then {own} else array() end")})
     matched = computed_once(chosen, {"_found": F.expr(
-        f"case when _hinted then array_sort(concat({found.replace('_known', known)}, {windows}), (a, b) -> {order}) else array() end")})
+        f"case when size(_ok) > 0 then array_sort(concat({_let('ks', known, found.replace('_known', 'ks'))}, {windows}), (a, b) -> {order}) else array() end")})
     return matched.select(
         F.col("_id").alias(doc_id), F.expr("get(_found, 0).id").alias("license"), F.expr("get(_found, 0).dice").alias("dice"),
         F.expr("get(_found, 0).unit").alias("unit"), F.expr("coalesce(array_join(array_sort(array_distinct(transform(_found, x -> x.id))), ','), '')").alias("licenses"))

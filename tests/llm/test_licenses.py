@@ -57,11 +57,22 @@ def test_bounds_and_triggers_are_exact():
         low, high = license_scan.bounds(size, 0.8)
         reach = [n for n in range(1, 400) if 2 * min(n, size) / (n + size) >= 0.8 - 1e-12]
         assert (low, high) == (reach[0], reach[-1])
+    draw = random.Random(4)
     for _, text in TEMPLATES:
         grams = license_scan.bigrams(text)
-        words = license_scan.triggers(grams, 0.8)
-        without = sum(not words & set(g.split()) for g in grams)
-        assert without < license_scan.bounds(len(grams), 0.8)[0]
+        low = license_scan.bounds(len(grams), 0.8)[0]
+        need, weights = license_scan.triggers(grams, 0.8)
+        assert 0 < need <= low
+        for _ in range(20):  # any choice of as many bigrams as the lower bound has words that weigh enough
+            unit = draw.sample(grams, low)
+            assert sum(weights.get(w, 0) for w in {w for g in unit for w in g.split()}) >= need
+
+
+def test_many_sentences_in_one_text(spark):
+    draw = random.Random(6)
+    said = lambda n: " ".join(" ".join(draw.choices(["work", "license", "you", "copy", "software", "abc"], k=5)) + "." for _ in range(n))
+    got = scan(spark, [(1, f"{said(5000)} Released under the MIT License. {said(5000)}"), (2, said(3000))])
+    assert [r[1:4] for r in got] == [("MIT", 1.0, "window"), (None, None, None)]
 
 
 def published(name):
