@@ -182,30 +182,6 @@ def osa_pairs(values: pa.Array) -> pa.Array:
 osa_pairs = osa_pairs.asNondeterministic()
 
 
-def nickname_pairs(lexicons) -> "callable":
-    """UDF giving, for every pair, the 1-based first lexicon in which both names share a group."""
-    tables = [
-        (
-            pa.array([name for name, _ in lexicon.groups], pa.string()),
-            pa.array([group for _, group in lexicon.groups], pa.string()),
-        )
-        for lexicon in lexicons
-    ]
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def hit(values: pa.Array) -> pa.Array:
-        left, right = _flat_pairs(values)
-        found = np.zeros(len(left), dtype=np.int32)
-        for number, (names, groups) in enumerate(tables, start=1):
-            a = groups.take(pc.index_in(left, value_set=names))
-            b = groups.take(pc.index_in(right, value_set=names))
-            same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
-            found = np.where((found == 0) & same, number, found)
-        return _like(values, pa.array(found, pa.int32()))
-
-    return hit.asNondeterministic()
-
-
 def _single(kind):
     def made(left: Column, right: Column) -> Column:
         pair = F.array(F.struct(left.alias("l"), right.alias("r")))

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.config import Comparators, MatchingProfile
-from kinweave.functions import similarity as sim
+from kinweave.config import MatchingProfile
 from kinweave.functions.once import computed_once
-from kinweave.functions.text import phonetic
-
-# Names reported for the comparators.
-_LABELS = {
-    "Exact": "exact",
-    "JaroWinkler": "jaro-winkler",
-    "NormalisedDamerauLevenshtein": "normalised-damerau-levenshtein",
-    "DiceCoefficient": "dice-coefficient",
-    "Phonetic": "phonetic",
-    "Nickname": "nickname",
-}
+from kinweave.operators.name_scores import best_names
+
 _RESULT = "struct<sim:double,comparator:string,detail:string>"
 
 
@@ -47,112 +35,6 @@ def _cross(lefts: Column, rights: Column, pair) -> Column:
     )
 
 
-def _family_pairs(left: Column, right: Column) -> Column:
-    def pair(a: Column, b: Column) -> Column:
-        return F.struct(
-            a["family"].alias("l"), b["family"].alias("r"),
-            a["phonetic"].alias("lp"), b["phonetic"].alias("rp"),
-        )
-
-    return F.filter(
-        _cross(left["names"], right["names"], pair), lambda p: (p["l"] != "") & (p["r"] != "")
-    )
-
-
-def _given_pairs(left: Column, right: Column, with_codes: bool) -> Column:
-    code = phonetic if with_codes else (lambda c: F.lit(""))
-
-    def pair(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("l"), b.alias("r"), code(a).alias("lp"), code(b).alias("rp"))
-
-    def values(side: Column) -> Column:
-        return F.when(F.size(side["names"]) == 1, side["names"][0]["given"]).otherwise(
-            F.flatten(F.transform(side["names"], lambda n: n["given"]))
-        )
-
-    return _cross(values(left), values(right), pair)
-
-
-def _texts(pairs: Column) -> Column:
-    return F.transform(pairs, lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r")))
-
-
-def _with_batch_scores(df: DataFrame, wanted: dict[str, tuple[str, ...]], comparators: Comparators) -> DataFrame:
-    """Give the pairs of each column one more field per comparator that runs as Arrow batches.
-
-    All batches are asked for in one projection, so that rows make one trip to Python. The UDFs are
-    marked non-deterministic so that their output stays a column of its own: Spark must neither run
-    them twice nor fold them into the lambdas that read them.
-    """
-    batch = {
-        "JaroWinkler": sim.jaro_winkler_pairs,
-        "NormalisedDamerauLevenshtein": sim.osa_pairs,
-    }
-    if any("Nickname" in kinds for kinds in wanted.values()):
-        batch["Nickname"] = sim.nickname_pairs(comparators.lexicons)
-    used = [(pairs, kind) for pairs, kinds in wanted.items() for kind in batch if kind in kinds]
-    df = df.withColumns({f"{pairs}_{kind}": batch[kind](_texts(F.col(pairs))) for pairs, kind in used})
-    made = {pairs: F.col(pairs) for pairs, _ in used}
-
-    def with_field(kind: str):
-        return lambda pair, value: pair.withField(kind, value)
-
-    for pairs, kind in used:
-        made[pairs] = F.zip_with(made[pairs], F.col(f"{pairs}_{kind}"), with_field(kind))
-    return df.withColumns(made) if made else df
-
-
-def best_comparator(pair: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
-    """Best of the configured comparators for one pair; ties keep the earlier one."""
-    results = []
-    for kind in kinds:
-        label = _LABELS[kind]
-        if kind == "Exact":
-            results.append(_result(sim.exact(pair["l"], pair["r"]), label))
-        elif kind == "DiceCoefficient":
-            results.append(_result(sim.dice(pair["l"], pair["r"]), label))
-        elif kind == "Phonetic":
-            same = (pair["lp"] != "") & (pair["lp"] == pair["rp"])
-            results.append(
-                _result(
-                    F.when(same, F.lit(comparators.phonetic_floor)).otherwise(0.0),
-                    label,
-                    F.when(same, F.concat(F.lit("shared-code:"), pair["lp"])),
-                )
-            )
-        elif kind == "Nickname":
-            hit = pair["Nickname"]
-            detail = F.lit(None).cast("string")
-            for number, lexicon in reversed(list(enumerate(comparators.lexicons, start=1))):
-                detail = F.when(
-                    hit == number, F.lit(f"{lexicon.culture}/{lexicon.version}")
-                ).otherwise(detail)
-            results.append(
-                _result(
-                    F.when(hit > 0, F.lit(comparators.nickname_floor)).otherwise(0.0),
-                    label,
-                    detail,
-                )
-            )
-        else:
-            results.append(_result(pair[kind], label))
-    return reduce(_later_must_beat, results)
-
-
-def _best_of_cross(pairs: Column, kinds: tuple[str, ...], comparators: Comparators) -> Column:
-    """Best pair of a cross of values; ties keep the earlier pair."""
-    nothing = _result(F.lit(0.0), "none").cast(_RESULT)
-    only = best_comparator(F.get(pairs, F.lit(0)), kinds, comparators)
-    best = F.aggregate(
-        pairs,
-        nothing,
-        lambda best, pair: _later_must_beat(
-            best, best_comparator(pair, kinds, comparators).cast(_RESULT)
-        ),
-    )
-    return F.when(F.size(pairs) == 1, _later_must_beat(nothing, only)).otherwise(best)
-
-
 def _birth_date(left: Column, right: Column) -> tuple[Column, Column, Column]:
     a, b = left["birth_date"], right["birth_date"]
     missing = a.isNull() | b.isNull()
@@ -210,8 +92,8 @@ def _best_address(facts: Column) -> Column:
     ).otherwise(best)
 
 
-def _address(left: Column, right: Column, best: Column) -> tuple[Column, Column, Column]:
-    missing = (F.size(left["addresses"]) == 0) | (F.size(right["addresses"]) == 0)
+def _address(facts: Column, best: Column) -> tuple[Column, Column, Column]:
+    missing = F.size(facts) == 0
     comparator = F.when(missing, "postcode/token-jaccard").otherwise(best["comparator"])
     return best["sim"], comparator, missing
 
@@ -256,30 +138,26 @@ def compare(
     """Add ``evidence`` (six fields in fixed order), ``is_certain`` and ``has_hard_conflict``."""
     kinds = rules.comparators
     a, b = F.col(left), F.col(right)
-    df = computed_once(
-        pairs,
-        {
-            "_family": _family_pairs(a, b),
-            "_given": _given_pairs(a, b, "Phonetic" in kinds.given),
-            "_places": _address_facts(a, b),
-        },
-    )
-    df = _with_batch_scores(df, {"_family": kinds.family, "_given": kinds.given}, kinds)
+    df = pairs.withColumn("_names", best_names(a, b, kinds))
+    df = df.withColumns({"_family_best": F.col("_names.family"), "_given_best": F.col("_names.given")})
+    certain, conflict = assess_identifiers(a, b, rules)
+    dob_differs = F.coalesce(a["birth_date"] != b["birth_date"], F.lit(False))
     df = computed_once(
         df,
         {
-            "_family_best": _best_of_cross(F.col("_family"), kinds.family, kinds),
-            "_given_best": _best_of_cross(F.col("_given"), kinds.given, kinds),
-            "_place_best": _best_address(F.col("_places")),
+            "_places": _address_facts(a, b),
             "_dob": F.struct(*_named(_birth_date(a, b))),
             "_telecom": F.struct(*_named(_telecom(a, b))),
             "_gender": F.struct(*_named(_gender(a, b))),
+            "_trust": F.struct(certain.alias("certain"), conflict.alias("conflict"), dob_differs.alias("dob_differs")),
         },
     )
-    df = df.withColumn("_address", F.struct(*_named(_address(a, b, F.col("_place_best")))))
+    # from here on the profiles themselves are not read
+    df = computed_once(df, {"_place_best": _best_address(F.col("_places"))})
+    df = df.withColumn("_address", F.struct(*_named(_address(F.col("_places"), F.col("_place_best")))))
     weights = rules.weights
-    family_missing = F.size("_family") == 0
-    given_missing = F.size("_given") == 0
+    family_missing = F.col("_family_best.pairs") == 0
+    given_missing = F.col("_given_best.pairs") == 0
     given_label = F.when(given_missing, "configured-string-library").otherwise(
         F.col("_given_best.comparator")
     )
@@ -299,12 +177,10 @@ def compare(
             _evidence(name, F.col(f"{column}.sim"), weight, F.col(f"{column}.comparator"),
                       F.lit(None).cast("string"), F.col(f"{column}.missing"))
         )
-    certain, conflict = assess_identifiers(a, b, rules)
-    dob_differs = F.coalesce(a["birth_date"] != b["birth_date"], F.lit(False))
     made = (
         df.withColumn("evidence", F.array(*rows))
-        .withColumn("is_certain", certain)
-        .withColumn("has_hard_conflict", conflict | (certain & dob_differs))
+        .withColumn("is_certain", F.col("_trust.certain"))
+        .withColumn("has_hard_conflict", F.col("_trust.conflict") | (F.col("_trust.certain") & F.col("_trust.dob_differs")))
     )
     helpers = [name for name in made.columns if name.startswith("_") and name not in pairs.columns]
     return made.drop(*helpers)
