@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.config import Comparators
 from kinweave.functions import hashing, text
 from kinweave.operators import assurance, blocking, quality, survivorship
+from kinweave.operators.as_of import as_of, version_runs
+from kinweave.operators.name_scores import best_names
 from kinweave.operators.ordered_merges import merge_in_order
 from kinweave.plans import registry as reg
 from kinweave.plans import search
@@ -225,6 +228,34 @@ def merges_in_order(spark, sf_dir):
     return done.select("event_id", "retired", "survivor", "acts")
 
 
+def version_gaps(spark, sf_dir):
+    """Runs of the versions each source key has; a third of all versions belong to one key."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.expr("case when event_id % 3 = 0 then 'U0' else concat('U', cast(user_id as string)) end").alias("local_id"), F.expr("event_id div 40").alias("version"))
+    return version_runs(rows, ["local_id"], "version")
+
+
+def settings_as_of(spark, sf_dir):
+    """For each job the version of the settings in force when it was asked for."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    settings = orders.groupBy(F.col("o_orderpriority").alias("schedule_key"), F.expr("cast(date_trunc('quarter', o_orderdate) + interval 10 days as date)").alias("valid_from")).agg(
+        F.max("o_orderkey").alias("settings_version"))
+    asked = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("schedule_key"), F.col("o_orderdate").cast("date").alias("requested_at"))
+    return as_of(asked, settings, ["schedule_key"], "requested_at", "valid_from", ["settings_version"]).select("id", "settings_version")
+
+
+def large_name_sets(spark, sf_dir):
+    """Best of all pairs of names between sides of some two hundred names each."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    side = lambda factor, odd, name: customers.where(F.col("c_custkey") % 2 == odd).groupBy(F.expr("c_custkey div 400").alias("part")).agg(
+        F.array(F.struct(F.lit("").alias("family"), F.lit("").alias("phonetic"), F.sort_array(F.collect_list(
+            F.translate((F.col("c_custkey") * factor).cast("string"), "0123456789", "AEINORSTLM"))).alias("given"))).alias(name))
+    rules = Comparators(given=("Exact", "JaroWinkler"))
+    pairs = side(7919, 0, "l").join(side(7927, 1, "r"), "part").select("part", F.struct(F.col("l").alias("names")).alias("l"), F.struct(F.col("r").alias("names")).alias("r"))
+    best = pairs.select("part", best_names(F.col("l"), F.col("r"), rules).alias("best"))
+    return best.select("part", F.round("best.given.sim", 9).alias("similarity"), F.col("best.given.comparator").alias("comparator"), F.col("best.given.pairs").alias("pairs"))
+
+
 def audit_written(spark, sf_dir):
     """Audit rows of a batch of identities, with the stable id left out."""
     rows = persons(spark, sf_dir).select("tenant_id", "enterprise_id", "version")
@@ -269,14 +300,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_persons, search_reviews, search_audit, search_jobs, last_windows, priority_reviews, operational_summary, reconcile_totals,
         calibration_loss, dataset_digest, idempotency_keys, registry_ids, source_owners, new_and_known, point_lookups, quarantined_people,
         identity_persons, ordered_sources, ack_totals, audit_written, person_links, effective_approvals,
-        adt_apply, merges_in_order,
+        adt_apply, merges_in_order, version_gaps, settings_as_of, large_name_sets,
     )
 }
 
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL that computes the same another way."""
-    from kinweave.oracles import _EVENTS, _LINKED, _with
+    from kinweave.oracles import _EVENTS, _LINKED, _jw, _with
 
     review, log, job, person = (_duck(r) for r in (_REVIEWS, _AUDIT, _JOBS, _PERSONS))
     # owner[i]: the identity that record i is in; every merge in turn moves all records of one identity
@@ -343,6 +374,22 @@ def oracles() -> dict[str, str]:
             from (select *, trigger = 'A40' and u <> merged and merged not in (select u from rec) as unknown from e) left join rec r using (u)""",
         "merges_in_order": walk.replace("select distinct u from good", "select distinct u from both_ends") + """
             select event_id, 'U' || o.u as retired, 'U' || w.u as survivor, k.acts from walk k join rec o on o.i = k.was join rec w on w.i = k.now""",
+        "version_gaps": """
+            with v as (select distinct case when event_id % 3 = 0 then 'U0' else 'U' || user_id end as local_id, event_id // 40 as version from events),
+            r as (select *, version - row_number() over (partition by local_id order by version) as run from v),
+            g as (select local_id, min(version) as from_version, max(version) as to_version from r group by local_id, run)
+            select *, lead(from_version) over (partition by local_id order by from_version) - to_version - 1 as missing_after from g""",
+        "settings_as_of": """
+            with s as (select o_orderpriority as schedule_key, cast(date_trunc('quarter', o_orderdate) + interval 10 days as date) as valid_from,
+              max(o_orderkey) as settings_version from orders group by all)
+            select o_orderkey as id, settings_version from orders asof left join s
+              on s.schedule_key = o_orderpriority and cast(o_orderdate as date) >= s.valid_from""",
+        "large_name_sets": f"""
+            with n as (select c_custkey // 400 as part, c_custkey % 2 as side,
+              translate(cast(c_custkey * case when c_custkey % 2 = 0 then 7919 else 7927 end as varchar), '0123456789', 'AEINORSTLM') as name from customer),
+            p as (select l.part, l.name as x, r.name as y from n l join n r on l.part = r.part and l.side = 0 and r.side = 1), {_jw("jws", "p")}
+            select part, round(max(jw), 9) as similarity, case when max(jw) = 1 then 'exact' when max(jw) > 0 then 'jaro-winkler' else 'none' end as comparator,
+              count(*) as pairs from p join jws using (x, y) group by part""",
         "audit_written": f"""select enterprise_id, 'rebuild' as action, 'maintenance' as actor, 'success' as outcome,
             'quarterly rebuild' as reason, 1::bigint as same_id from {person}""",
     }
