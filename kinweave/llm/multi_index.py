@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ SEED = 5
 
 def centroids(sample: np.ndarray, k: int, seed: int = SEED, rounds: int = 12) -> np.ndarray:
     """Codebook of a half by Lloyd's rounds; empty cells move to the point that is worst off."""
+    if not sample.shape[1]:
+        return np.zeros((1, 0))
     draw = np.random.default_rng(seed)
     points = np.unique(sample, axis=0)
     k = min(k, len(points))
@@ -77,12 +80,19 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, depth: int)
     return out
 
 
-def _best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, top: int):
-    """For each query the ``top`` allowed rows with the largest inner product, ties to smaller ids."""
-    scores = queries @ vectors.T
+def _best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, met, top: int):
+    """For each query the ``top`` rows with the largest inner product, ties to smaller ids.
+
+    ``met`` lists (queries, first row, end) for runs of rows and the queries that meet them; no other
+    products are taken. None lets all queries meet all rows.
+    """
+    if met is None:
+        scores = queries @ vectors.T
+    else:
+        scores = np.full((len(queries), len(vectors)), -np.inf)
+        for asking, first, end in met:
+            scores[asking, first:end] = queries[asking] @ vectors[first:end].T
     scores[own[:, None] == rows[None, :]] = -np.inf
-    if allowed is not None:
-        scores[~allowed] = -np.inf
     if scores.shape[1] > top:
         bar = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
     else:
@@ -108,12 +118,14 @@ def search(
     least depth at which they reach ``depth_recall`` holds for all. Tiles of cells are joined with the
     queries that walk there; tiles with many rows or queries are split in both ways.
 
+    Vectors are compared with those of their own length. Each length that has a query gets its own
+    codebooks and depth, one length after another; their tiles are reranked together.
+
     Of equal vectors only the ``top`` + 1 smallest ids can be among anyone's nearest, so only those are
     indexed. Ranks count from 1; ties go to the smaller id. Vectors that are null, empty, zero, or hold
-    null or non-finite numbers take no part, nor do rows with a null id; vectors of other lengths than
-    the most frequent one (of equally frequent, the shortest) take no part. A repeated row is a
-    candidate of its own, and a query whose id repeats is searched once, from its first vector in the
-    order of bytes. Fewer candidates than ``top`` give fewer rows; an empty table gives none.
+    null or non-finite numbers take no part, nor do rows with a null id. A repeated row is a candidate
+    of its own, and a query whose id repeats is searched once, from its first vector in the order of
+    length and bytes. Fewer candidates than ``top`` give fewer rows; an empty table gives none.
     """
 
     @F.pandas_udf("binary")
@@ -121,25 +133,36 @@ def search(
         for batch in batches:
             yield pd.Series([usable(v) for v in batch])
 
-    spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), prepared(F.col(vector)).alias("raw"))
     rows = stage(rows.where("raw is not null and vec_id is not null"), "imi-rows")
-    sizes = rows.groupBy(F.length("raw").alias("size")).agg(F.count("*").alias("n"))
-    usual = sizes.orderBy(F.desc("n"), "size").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if usual is None:
-        return empty
-    rows = rows.where(F.length("raw") == usual["size"])
-    half = usual["size"] // 8 // 2
     copy = F.row_number().over(Window.partitionBy("raw").orderBy("vec_id"))
     entries = rows.withColumn("copy", copy).where(F.col("copy") <= top + 1)
-    entries = stage(entries.select("vec_id", "raw").withColumn("row", F.monotonically_increasing_id()), "imi-entries")
-    total = entries.count()
+    entries = entries.select("vec_id", "raw", F.length("raw").alias("size")).withColumn("row", F.monotonically_increasing_id())
+    entries = stage(entries, "imi-entries")
     # the query is the row with its id; a repeated id is searched from one of them
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("raw").alias("raw"))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.length("raw").alias("size"), "raw")).alias("q"))
+    queries = queries.select("vec_id", "q.*")
     mine = entries.groupBy("vec_id", "raw").agg(F.min("row").alias("row"))
     queries = stage(queries.join(mine, ["vec_id", "raw"], "left").select(
-        F.col("vec_id").alias("query"), "raw", F.coalesce("row", F.lit(-1)).alias("own")), "imi-queries")
+        F.col("vec_id").alias("query"), "raw", "size", F.coalesce("row", F.lit(-1)).alias("own")), "imi-queries")
+    sizes = entries.groupBy("size").agg(F.count("*").alias("n")).join(queries.select("size").distinct(), "size", "left_semi")
+    parts = [
+        _index(entries.where(F.col("size") == size), queries.where(F.col("size") == size), size, n, top, depth_recall, seed)
+        for size, n in sorted(sizes.collect())]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    indexed, walked = (reduce(DataFrame.unionByName, some) for some in zip(*parts))
+    found = _met(indexed, walked, top)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _index(
+    entries: DataFrame, queries: DataFrame, size: int, total: int, top: int, depth_recall: float, seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their tile and place in it, (query, tile) with the cells met there) of one length."""
+    spark = entries.sparkSession
+    half = size // 8 // 2
 
     # codebooks
     sample = matrix([r["raw"] for r in entries.select("raw", F.xxhash64("row").alias("h")).orderBy("h").limit(FIT_ROWS).select("raw").collect()])
@@ -156,7 +179,7 @@ def search(
                 out.append(((book ** 2).sum(axis=1)[None, :] - 2 * part @ book.T).argmin(axis=1).astype(np.int32))
             yield pd.DataFrame({"first": out[0], "second": out[1]})
 
-    indexed = stage(entries.withColumn("cell", cells("raw")).select("vec_id", "raw", "row", "cell.*"), "imi-index")
+    indexed = stage(entries.withColumn("cell", cells("raw")).select("vec_id", "raw", "row", "size", "cell.*"), "imi-index")
     counts = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for r in indexed.groupBy("first", "second").count().collect():
         counts[r["first"], r["second"]] = r["count"]
@@ -184,21 +207,28 @@ def search(
 
     spread = queries.repartition(max(2, spark.sparkContext.defaultParallelism))
     walked = stage(spread.mapInPandas(walks, "query long, own long, tile long, raw binary, cells binary"), "imi-walks")
-
-    # tiles: how many parts their rows and their queries make
     tile = (F.col("first").cast("long") * tiles + F.floor(F.col("second") / tile_width)).alias("tile")
-    parts = walked.groupBy("tile").agg(F.ceil(F.count("*") / TILE_QUERIES).alias("query_parts")).join(
-        indexed.groupBy(tile).agg(F.ceil(F.count("*") / TILE_ROWS).alias("row_parts")), "tile")
+    place = F.pmod("second", F.lit(tile_width)).alias("at")
+    return indexed.select("size", tile, place, "row", "vec_id", "raw"), walked.withColumn("size", F.lit(size))
+
+
+def _met(indexed: DataFrame, walked: DataFrame, top: int) -> DataFrame:
+    """(query_id, vec_id, score, row): the best of each query in each tile, among the cells it met.
+
+    Tiles are split by their rows and by their queries, so that the parts are bounded.
+    """
+    parts = walked.groupBy("size", "tile").agg(F.ceil(F.count("*") / TILE_QUERIES).alias("query_parts")).join(
+        indexed.groupBy("size", "tile").agg(F.ceil(F.count("*") / TILE_ROWS).alias("row_parts")), ["size", "tile"])
     parts = stage(parts, "imi-tiles")
     some = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.select(tile, "row", "vec_id", "raw", F.pmod("second", F.lit(tile_width)).alias("at")).join(parts, "tile").select(
-        "tile", F.pmod(F.xxhash64("row"), "row_parts").alias("rp"), some("query_parts").alias("qp"), F.lit(0).alias("side"),
+    left = indexed.join(parts, ["size", "tile"]).select(
+        "size", "tile", F.pmod(F.xxhash64("row"), "row_parts").alias("rp"), some("query_parts").alias("qp"), F.lit(0).alias("side"),
         "row", "vec_id", "raw", "at", F.lit(None).cast("binary").alias("cells"))
-    right = walked.join(parts, "tile").select(
-        "tile", some("row_parts").alias("rp"), F.pmod(F.xxhash64("query"), "query_parts").alias("qp"), F.lit(1).alias("side"),
+    right = walked.join(parts, ["size", "tile"]).select(
+        "size", "tile", some("row_parts").alias("rp"), F.pmod(F.xxhash64("query"), "query_parts").alias("qp"), F.lit(1).alias("side"),
         F.col("own").alias("row"), F.col("query").alias("vec_id"), "raw", F.lit(0).alias("at"), "cells")
-    group = ["tile", "rp", "qp"]
-    met = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "side")
+    group = ["size", "tile", "rp", "qp"]
+    met = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "side", "at")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, cuts in whole_groups(batches, group):
@@ -210,23 +240,27 @@ def search(
                 body, asked = rows.iloc[:split], rows.iloc[split:]
                 vectors, spots = matrix(body["raw"].tolist()), body["at"].to_numpy()
                 ids, numbers = body["vec_id"].to_numpy(), body["row"].to_numpy()
+                cells, starts = np.unique(spots, return_index=True)
+                runs = list(zip(cells.tolist(), starts.tolist(), [*starts[1:].tolist(), len(spots)]))
                 for at in range(0, len(asked), 512):
                     some_asked = asked.iloc[at:at + 512]
                     bits = np.frombuffer(b"".join(some_asked["cells"]), dtype=np.uint8).reshape(len(some_asked), -1)
-                    allowed = np.unpackbits(bits, axis=1, count=tile_width).astype(bool)[:, spots]
-                    q, r, score = _best(matrix(some_asked["raw"].tolist()), some_asked["row"].to_numpy(), vectors, numbers, ids, allowed, top)
+                    asking = np.unpackbits(bits, axis=1).astype(bool)
+                    here = [(np.flatnonzero(asking[:, cell]), first, end) for cell, first, end in runs]
+                    q, r, score = _best(matrix(some_asked["raw"].tolist()), some_asked["row"].to_numpy(), vectors, numbers, ids, here, top)
                     yield pd.DataFrame({"query_id": some_asked["vec_id"].to_numpy()[q], "vec_id": ids[r], "score": score, "row": numbers[r]})
 
-    found = met.mapInPandas(rerank, "query_id long, vec_id long, score double, row long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return met.mapInPandas(rerank, "query_id long, vec_id long, score double, row long")
 
 
 def _depth(queries: DataFrame, indexed: DataFrame, books, counts: np.ndarray, half: int, top: int, recall: float) -> int:
-    """The least number of entries to meet at which measured queries find ``recall`` of their nearest."""
+    """The least number of entries to meet at which measured queries find ``recall`` of their nearest.
+
+    Never less than would fill ``top`` ranks, the query's own entry left out.
+    """
     asked = queries.select("query", "own", "raw", F.xxhash64("query").alias("h")).orderBy("h").limit(FIT_QUERIES).collect()
     if not asked:
-        return 1
+        return top + 1
     vectors, own = matrix([r["raw"] for r in asked]), np.array([r["own"] for r in asked])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,4 +286,4 @@ def _depth(queries: DataFrame, indexed: DataFrame, books, counts: np.ndarray, ha
             order[cell] = met + 1  # a walk that goes on after fewer entries than this enters the cell
             met += int(counts[cell])
         needed += [order[cell] for cell in cells]
-    return int(np.quantile(needed, min(1.0, recall), method="higher")) if needed else 1
+    return max(top + 1, int(np.quantile(needed, min(1.0, recall), method="higher")) if needed else 1)

@@ -109,3 +109,36 @@ def test_exact_copies_and_small_tables(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 3, 3.0), (0, 2, 3, 3.0)]
     assert multi_index.search(table(spark, [])).count() == 0
     assert multi_index.search(table(spark, [(0, [1.0, 1.0])])).count() == 0
+
+
+def test_every_length_is_searched(spark):
+    """Lengths, however rare, have their own neighbours; clumps and lone vectors get whole lists."""
+    draw = np.random.default_rng(4)
+    rows = [(i, v) for i, v in clustered(5, 200)]
+    clumps = [draw.normal(size=6) for _ in range(4)]
+    rows += [(1000 + i, clumps[i % 4] + 1e-4 * draw.normal(size=6)) for i in range(300)] + [(1300, -5 * clumps[0])]
+    rows += [(2000 + i, [float(i + 1)]) for i in range(41)] + [(3000, [1.0, 2.0, 3.0])] + ODD[:6]
+    got = {}
+    for r in multi_index.search(table(spark, rows), depth_recall=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    usable = {i: np.float32(v).astype(float) for i, v in rows if v is not None and len(v) and None not in v and np.isfinite(v).all() and np.any(v)}
+    hits = total = 0
+    for q in (i for i in usable if i % 20 == 0):
+        others = sorted((-float((usable[q] * v).sum()), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))[:20]
+        found = [i for _, i in sorted(got.get(q, []))]
+        assert len(found) == len(others), q
+        hits, total = hits + len(set(found) & {i for _, i in others}), total + len(others)
+    assert hits / total >= 0.97 and 3000 not in got
+
+
+def test_products_are_taken_of_met_rows_alone():
+    """Rows of a cell meet only the queries that walked there."""
+    draw = np.random.default_rng(6)
+    queries, vectors = draw.normal(size=(9, 4)), draw.normal(size=(30, 4))
+    met = [(np.array([0, 3, 8]), 0, 11), (np.array([3]), 11, 12), (np.array([], dtype=int), 12, 30)]
+    q, r, score = multi_index._best(queries, np.full(9, -1), vectors, np.arange(30), np.arange(30), met, 5)
+    assert set(q) == {0, 3, 8} and set(r) <= set(range(12)) and 11 not in set(r[q != 3])
+    for k in (0, 3, 8):
+        rows = list(range(12 if k == 3 else 11))
+        assert r[q == k].tolist() == sorted(rows, key=lambda j: -queries[k] @ vectors[j])[:5]
+        assert np.allclose(score[q == k], sorted((queries[k] @ vectors[rows].T).tolist())[::-1][:5])
