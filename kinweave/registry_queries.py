@@ -15,7 +15,9 @@ from kinweave.operators.name_scores import best_names
 from kinweave.operators.ordered_merges import merge_in_order
 from kinweave.plans import registry as reg
 from kinweave.plans import search
-from kinweave.queries import adt_messages, linked_sources, now, people
+from kinweave.plans.upsert import upsert
+from kinweave.plans.versions import in_turn
+from kinweave.queries import adt_messages, linked_sources, now, people, staged
 from kinweave.sources import derived, hl7
 from kinweave.streaming import adt
 
@@ -45,6 +47,13 @@ from customer
 """
 
 
+# the key that an event changes, and the version that it expects
+_CHANGED = "case when event_id % 3 = 0 then 'U0' else concat('U', cast(user_id as {text})) end"
+_EXPECTED = "case when event_id % 70 = 0 then null when event_id % 3 = 0 then event_id {div} 9 else event_id % 4 + 1 end"
+
+_WANTED = "case when (k + turn) % 4 = 0 then null else 1 + turn - k % 3 end"
+
+
 def _made(spark: SparkSession, sf_dir: str, rule: str, table: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(rule.format(text="string").replace(f"from {table}", "from {source}"), source=source)
@@ -235,6 +244,31 @@ def version_gaps(spark, sf_dir):
     return version_runs(rows, ["local_id"], "version")
 
 
+def versions_in_turn(spark, sf_dir):
+    """Which of the changes of source keys find the version they expect; a third of all changes are of one key."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    changes = events.selectExpr("event_id", f"{_CHANGED.format(text='string')} as local_id", f"{_EXPECTED.format(div='div')} as expected_version")
+    stored = events.where("user_id % 5 = 0").selectExpr("concat('U', cast(user_id as string)) as local_id", "cast(2 as long) as version").distinct()
+    return in_turn(changes, stored, ["local_id"], ["event_id"], "event_id")
+
+
+def upsert_versions(spark, sf_dir):
+    """Up to seven changes of every fifth customer: some expect the version in force, others a stale or a later one."""
+    cfg = derived.demo_config()
+    loaded = people(spark, sf_dir).where("source_system = 'crm'")
+    parts = reg.assemble(loaded.drop("norm", "blocking_keys", "k", "source_is_authoritative"), cfg, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    registry = reg.Registry(spark, {name: staged(spark, sf_dir, f"versioned-{name}", lambda df=df: df) for name, df in parts.items()})
+    turn = F.explode(F.sequence(F.lit(0), (F.col("k") % 7).cast("int"))).alias("turn")
+    incoming = loaded.where("k % 5 = 0").select("tenant_id", "source_system", "local_id", "profile", "k", turn).select(
+        "tenant_id", "source_system", "local_id", "profile", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("arrival"),
+        F.expr(_WANTED).alias("expected_version"))
+    done = upsert(registry, incoming, cfg, now())
+    outcomes = done.results.groupBy("source_system", "local_id").agg(
+        F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "version-conflict").alias("refused"))
+    return outcomes.join(done.registry["source_patients"], ["source_system", "local_id"]).select(
+        "source_system", "local_id", "accepted", "refused", F.col("version").cast("long").alias("version"))
+
+
 def settings_as_of(spark, sf_dir):
     """For each job the version of the settings in force when it was asked for."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -300,7 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_persons, search_reviews, search_audit, search_jobs, last_windows, priority_reviews, operational_summary, reconcile_totals,
         calibration_loss, dataset_digest, idempotency_keys, registry_ids, source_owners, new_and_known, point_lookups, quarantined_people,
         identity_persons, ordered_sources, ack_totals, audit_written, person_links, effective_approvals,
-        adt_apply, merges_in_order, version_gaps, settings_as_of, large_name_sets,
+        adt_apply, merges_in_order, version_gaps, settings_as_of, large_name_sets, versions_in_turn, upsert_versions,
     )
 }
 
@@ -379,6 +413,24 @@ def oracles() -> dict[str, str]:
             r as (select *, version - row_number() over (partition by local_id order by version) as run from v),
             g as (select local_id, min(version) as from_version, max(version) as to_version from r group by local_id, run)
             select *, lead(from_version) over (partition by local_id order by from_version) - to_version - 1 as missing_after from g""",
+        "versions_in_turn": f"""
+            with recursive c as (select event_id, {_CHANGED.format(text='varchar')} as local_id, {_EXPECTED.format(div='//')} as wants from events),
+            r as (select *, row_number() over (partition by local_id order by event_id) as place from c),
+            walk(local_id, place, event_id, accepted, found_version, following) as (
+              select local_id, cast(0 as bigint), cast(null as bigint), false, cast(0 as bigint),
+                cast(case when local_id in (select 'U' || user_id from events where user_id % 5 = 0) then 2 else 0 end as bigint)
+              from (select distinct local_id from c)
+              union all select r.local_id, r.place, r.event_id, wants is null or wants = following, following,
+                following + case when wants is null or wants = following then 1 else 0 end
+              from walk join r on r.local_id = walk.local_id and r.place = walk.place + 1)
+            select event_id, accepted, found_version from walk where place > 0""",
+        "upsert_versions": _with().replace("WITH", "with recursive", 1) + f""",
+            w(source_system, local_id, k, turn, accepted, refused, version) as (
+              select source_system, local_id, k, case when enterprise_id in (select enterprise_id from raw) then 0 else 7 end, cast(0 as bigint), cast(0 as bigint), cast(1 as bigint)
+              from p where source_system = 'crm' and k % 5 = 0
+              union all select source_system, local_id, k, turn + 1, accepted + held, refused + 1 - held, version + held
+              from (select *, case when coalesce({_WANTED}, version) = version then 1 else 0 end as held from w where turn <= k % 7))
+            select source_system, local_id, accepted, refused, version from w qualify row_number() over (partition by local_id order by turn desc) = 1""",
         "settings_as_of": """
             with s as (select o_orderpriority as schedule_key, cast(date_trunc('quarter', o_orderdate) + interval 10 days as date) as valid_from,
               max(o_orderkey) as settings_version from orders group by all)
