@@ -218,6 +218,26 @@ def test_receipts(spark):
     assert again.counters["accepted"] == 0 and again.counters["replayed"] == 3
 
 
+def test_expected_versions(spark):
+    """A stale change is refused with the repeats of its key; it counts for no later version."""
+    cfg = config()
+    day = dt.date(1980, 1, 2)
+    wanted = [(0, "k0"), (1, "k1"), (1, "k2"), (1, "k2"), (2, "k3"), (3, "k4"), (3, "k5"), (None, "k6")]
+    rows = rows_of(spark, [("a", "1", "SMITH", f"N{i}", day, "01", None) for i in range(len(wanted))])
+    asked = spark.createDataFrame([(f"N{i}", e, k) for i, (e, k) in enumerate(wanted)], "g string, expected_version int, idempotency_key string")
+    rows = rows.withColumn("g", F.col("profile.names")[0]["given"][0]).join(asked, "g").withColumn("payload_digest", F.lit("d"))
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    done = upsert(reg.Registry(spark), rows, cfg, now)
+    statuses = {r["idempotency_key"]: set() for r in done.results.collect()}
+    for r in done.results.collect():
+        statuses[r["idempotency_key"]].add(r["status"])
+    held = {"k0", "k1", "k3", "k4", "k6"}
+    assert statuses == {k: {"accepted"} if k in held else {"version-conflict"} for k in statuses}
+    assert done.counters["version_conflicts"] == 3 and done.counters["accepted"] == 5
+    assert [r["version"] for r in done.registry["source_patients"].collect()] == [5]
+    assert {r["idempotency_key"] for r in done.registry["receipts"].collect()} == held
+
+
 def test_other_tenant_fails(spark):
     rows = rows_of(spark, [("a", "1", "SMITH", "ALEX", dt.date(1980, 1, 2), None, None)])
     with pytest.raises(Exception, match="another tenant"):
