@@ -3,7 +3,8 @@
 The fixed rules find e-mail addresses, IP addresses, payment cards and telephone numbers. Their finds
 are the seeds of a graph of contexts and instances: contexts in which nearly everything of a shape is
 known are trusted, what else stands in a trusted context becomes known with the context's score, and
-the scores are taken again for a few rounds. All of it is DataFrame operations.
+lends it to the other contexts in which it stands. The scores are taken again until none changes. All
+of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from kinweave.llm.common import stage
 
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A context is trusted from this share of known instances, and this many different seeds on.
+#: A context is trusted from this mean score of its instances, and this many different known ones on.
 TRUST = 0.8
 SUPPORT = 5
+#: Scores are whole numbers of this part of one, rounded down, so that they come to rest.
+_UNIT = 100
 _STEP = 64
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -141,31 +143,35 @@ def _edges(mentions: DataFrame) -> DataFrame:
     )
 
 
-def _learn(edges: DataFrame, rounds: int, trust: float, support: int) -> DataFrame:
+def _learn(edges: DataFrame, rounds: int | None, trust: float, support: int) -> DataFrame:
     """(kind, value, score) of what trusted contexts made known; seeds are not among them.
 
-    A context's score is the mean score of the different instances that stand in it: 1 for seeds, 0
-    for the unknown. An instance takes the best score among its trusted contexts. Scores of hot
+    A context's score is the mean score of the different instances that stand in it: ``_UNIT`` for
+    seeds, 0 for the unknown. An instance takes the best score among its trusted contexts, and from
+    then on counts towards the support of every context it stands in. As the scores start from the
+    seeds alone and every step keeps their order, they only rise; they are whole numbers, so they come
+    to rest, and the rounds end when no score has risen (or after ``rounds``, if given). Scores of hot
     contexts and hot values are sums and maxima that combine before the shuffle.
     """
-    found = None
-    for _ in range(rounds):
+    found, reached, done = None, None, 0
+    while True:
         if found is None:
-            scored = edges.withColumn("score", F.col("seed").cast("double"))
+            scored = edges.withColumn("got", F.lit(None).cast("long"))
         else:
-            known = found.withColumnRenamed("score", "got")
-            scored = edges.join(known, ["kind", "value"], "left").withColumn(
-                "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))))
+            scored = edges.join(found.withColumnRenamed("score", "got"), ["kind", "value"], "left")
+        scored = scored.withColumn("got", F.when(F.col("seed"), _UNIT).otherwise(F.coalesce("got", F.lit(0))))
         contexts = scored.groupBy("kind", "context").agg(
-            F.avg("score").alias("score"), F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("new"))
-        trusted = contexts.where((F.col("score") >= trust) & (F.col("seeds") >= support) & (F.col("new") > 0))
+            F.expr("sum(got) div count(*)").alias("score"), F.count_if(F.col("got") > 0).alias("known"), F.count_if(~F.col("seed")).alias("new"))
+        trusted = contexts.where((F.col("score") >= trust * _UNIT) & (F.col("known") >= support) & (F.col("new") > 0))
         step = edges.where(~F.col("seed")).join(trusted.select("kind", "context", "score"), ["kind", "context"])
         found = stage(step.groupBy("kind", "value").agg(F.max("score").alias("score")), "pii-found")
-    return found
+        last, reached, done = reached, found.agg(F.count("*"), F.sum("score")).first(), done + 1
+        if reached == last or reached[0] == 0 or done == rounds:
+            return found
 
 
 def find(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None, trust: float = TRUST, support: int = SUPPORT,
 ) -> DataFrame:
     """One row for each row of ``docs``: (id, mark, base, extra), staged.
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from hypothesis import given, settings
@@ -57,6 +58,52 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[i]["base_sha256"] == expected(i, t)[-1] for i, t in texts.items())
 
 
+def test_discovered_instances_support_new_contexts(spark):
+    """A context without any seed is trusted for what other contexts made known, and so on to the end."""
+    rows = [(i, f"note {i} please phone me at +1 (555) 010-{1000 + i} today") for i in range(40)]
+    rows += [(100 + i, f"well please phone me at (555) 020-{2000 + i} today") for i in range(8)]
+    rows += [(200 + i, f"or kindly ring desk (555) 020-{2000 + i} now") for i in range(8)] + [(300 + i, f"or kindly ring desk (555) 040-{4000 + i} now") for i in range(1)]
+    rows += [(400, "elsewhere it was (555) 040-4000 that rang"), (401, "elsewhere it was (555) 050-5000 that rang")]
+    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(rows_of(spark, rows)).collect()}
+    for i, text in rows:
+        value = text[text.index("(555)"):][:14]
+        at = text.index(value)
+        want = "" if i == 401 else f"phone:{at}:{at + 14}"
+        assert (got[i] if i >= 100 else want) == want, text
+    early = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(rows_of(spark, rows), rounds=1).collect()}
+    assert early[100] and not early[300] and not early[400]
+
+
+def scores_by_hand(edges, trust, support):
+    """The same fixed point on plain dictionaries."""
+    members, got = {}, {}
+    for kind, context, value, seed in edges:
+        members.setdefault((kind, context), []).append(((kind, value), seed))
+    while True:
+        new = {}
+        for rows in members.values():
+            scores = [pii_bootstrap._UNIT if seed else got.get(v, 0) for v, seed in rows]
+            score = sum(scores) // len(scores)
+            if score >= trust * pii_bootstrap._UNIT and sum(x > 0 for x in scores) >= support:
+                for v, seed in rows:
+                    if not seed:
+                        new[v] = max(new.get(v, 0), score)
+        if new == got:
+            return got
+        got = new
+
+
+def test_scores_come_to_rest_where_they_do_by_hand(spark):
+    draw = random.Random(3)
+    edges = {(k, f"c{draw.randrange(12)}", f"v{v}", v % 3 > 0) for k in (0, 3) for v in range(60) for _ in range(3)}
+    edges |= {(0, f"d{i}", f"w{j}", i == 0 and j < 6) for i in range(6) for j in range(6 * i, 6 * i + 8)}
+    table = spark.createDataFrame(sorted(edges), "kind int, context string, value string, seed boolean")
+    for trust, support in ((0.6, 3), (0.7, 5)):
+        got = {(r["kind"], r["value"]): r["score"] for r in pii_bootstrap._learn(table, None, trust, support).collect()}
+        assert got == scores_by_hand(edges, trust, support)
+        assert got
+
+
 def test_redacting(spark):
     rows = contexts() + [(500 + i, t) for i, t in enumerate(ODD)]
     table = rows_of(spark, rows)
