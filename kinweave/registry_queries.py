@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.config import Comparators
@@ -18,8 +18,9 @@ from kinweave.plans import search
 from kinweave.plans.upsert import upsert
 from kinweave.plans.versions import in_turn
 from kinweave.queries import adt_messages, linked_sources, now, people, staged
+from kinweave.session import working_folder
 from kinweave.sources import derived, hl7
-from kinweave.streaming import adt
+from kinweave.streaming import adt, keyed
 
 # ---- derived tables, and the same rules for DuckDB ------------------------------------------------
 
@@ -328,6 +329,65 @@ def effective_approvals(spark, sf_dir):
     return review.effective_approvals(cases, crm.drop("k"), cfg).select("id", "effective_approvals")
 
 
+# ---- captures and streams ----------------------------------------------------------------------------
+
+
+def captured_frames(spark, sf_dir):
+    """All messages as framed captures, some frames cut short or badly ended, read back in ranges of files."""
+    number, plain = F.col("event_id"), F.col("message")
+    sent = adt_messages(spark, sf_dir).select(
+        F.when(number % 50 == 0, F.concat(plain, F.lit("\x1cX")))
+        .when(number % 77 == 5, F.concat(F.lit("cut short\x0b"), plain)).otherwise(plain).alias("message"))
+    folder = working_folder(spark, "captures")
+    hl7.write_mllp_capture(sent, folder)
+    good, bad = hl7.read_mllp_capture(spark, folder)
+    fields = F.split("message", r"\|")
+    read = good.select(
+        fields[9].cast("long").alias("event_id"), F.split(fields[14], r"\^")[0].alias("local_id"),
+        F.split(fields[8], r"\^")[1].alias("trigger"), F.lit(None).cast("string").alias("problem"), F.lit(1).cast("long").alias("frames"))
+    faults = bad.groupBy("problem").agg(F.count(F.lit(1)).alias("frames"))
+    return read.unionByName(faults, allowMissingColumns=True)
+
+
+def _streamed(rows: DataFrame, late: Column, state: Callable[[DataFrame], DataFrame], mode: str) -> str:
+    """Rows land in a folder, those that are ``late`` in a second delivery; the stream is started for each.
+
+    Returns the folder of what the stream put out.
+    """
+    spark = rows.sparkSession
+    landing, out, checkpoint = (working_folder(spark, f"stream-{name}") for name in ("in", "out", "checkpoint"))
+    late = F.coalesce(late, F.lit(False))
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(landing)
+        stream = state(spark.readStream.schema(rows.schema).parquet(landing))
+        keyed.stream_deltas(stream, out, checkpoint, mode).awaitTermination()
+    return out
+
+
+def stream_latest(spark, sf_dir):
+    """Newest version of every record from a stream that gets the newer half of the versions first."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").cast("string").alias("local_id"), F.col("o_orderdate").alias("last_updated"),
+        F.col("o_orderkey").alias("version_id"))
+    newest = lambda stream: keyed.latest_rows(stream, ["local_id"], ["last_updated", "version_id"])
+    out = _streamed(rows, F.col("last_updated") < "1995-01-01", newest, "update")
+    return keyed.current(spark, rows.schema, out, ["local_id"])
+
+
+def stream_replays(spark, sf_dir):
+    """Every event as a message whose control id comes again, judged by a stream that is stopped half-way."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(
+        "event_id", F.col("ts").alias("arrival"), (F.col("event_id") % 700).cast("string").alias("idempotency_key"),
+        (F.col("user_id") % 3).cast("string").alias("payload_digest"),
+        F.concat(F.lit("answer to "), F.col("event_id").cast("string")).alias("response"))
+    half = events.agg(F.timestamp_seconds(F.avg(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6)).first()[0]
+    answered = lambda stream: keyed.first_answers(
+        stream, "idempotency_key", "payload_digest", "response", ["arrival", "event_id"], 0)
+    out = _streamed(rows, F.col("arrival") > F.lit(half), answered, "append")
+    return spark.read.schema("event_id long, receipt_state string, stored_response string").parquet(out).drop("epoch")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -335,6 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         calibration_loss, dataset_digest, idempotency_keys, registry_ids, source_owners, new_and_known, point_lookups, quarantined_people,
         identity_persons, ordered_sources, ack_totals, audit_written, person_links, effective_approvals,
         adt_apply, merges_in_order, version_gaps, settings_as_of, large_name_sets, versions_in_turn, upsert_versions,
+        captured_frames, stream_latest, stream_replays,
     )
 }
 
@@ -442,6 +503,17 @@ def oracles() -> dict[str, str]:
             p as (select l.part, l.name as x, r.name as y from n l join n r on l.part = r.part and l.side = 0 and r.side = 1), {_jw("jws", "p")}
             select part, round(max(jw), 9) as similarity, case when max(jw) = 1 then 'exact' when max(jw) > 0 then 'jaro-winkler' else 'none' end as comparator,
               count(*) as pairs from p join jws using (x, y) group by part""",
+        "captured_frames": "with " + _EVENTS.strip() + """
+            select event_id, 'U' || user_id as local_id, trigger, null::varchar as problem, 1::bigint as frames from e where event_id % 50 <> 0
+            union all select null, null, null, 'end-block-without-carriage-return', count(*) from e where event_id % 50 = 0 having count(*) > 0
+            union all select null, null, null, 'unterminated-frame', count(*) from e where event_id % 50 <> 0 and event_id % 77 = 5 having count(*) > 0""",
+        "stream_latest": """
+            select o_custkey::varchar as local_id, max(o_orderdate) as last_updated, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as version_id
+            from orders group by o_custkey""",
+        "stream_replays": """
+            with f as (select event_id % 700 as k, min_by(event_id, (ts, event_id)) as event_id, min_by(user_id % 3, (ts, event_id)) as d from events group by 1)
+            select e.event_id, case when e.event_id = f.event_id then 'fresh' when e.user_id % 3 = d then 'replay' else 'conflict' end as receipt_state,
+              case when e.event_id <> f.event_id then 'answer to ' || f.event_id end as stored_response from events e join f on e.event_id % 700 = f.k""",
         "audit_written": f"""select enterprise_id, 'rebuild' as action, 'maintenance' as actor, 'success' as outcome,
             'quarterly rebuild' as reason, 1::bigint as same_id from {person}""",
     }
