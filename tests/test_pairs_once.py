@@ -1,13 +1,18 @@
 """Pairs made in their blocks, without a cap, against brute force; and what they move."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import blocking
+from kinweave.plans import registry as reg
+from kinweave.plans import upsert
+from kinweave.session import stage
 
 from test_matching import index_of
+from test_upsert import config, rows_of
 
 
 def made(seed):
@@ -51,3 +56,16 @@ def test_pairs_are_not_shuffled(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [tenant_id" not in plan.split("Join")[0], plan  # nothing is made distinct above the join
     assert pairs.count() == 400 * 399 // 2
+
+
+def test_reviews_of_new_identities_write_no_pairs(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(upsert, "stage", lambda df, name: written.setdefault(name, stage(df, name)))
+    day = dt.date(1980, 1, 2)
+    rows = [("c", f"{i:03}", f"Name{i:03}" if i < 118 else "Twin", "G", day if i > 117 else None, "0113 4960000", None) for i in range(120)]
+    done = upsert.upsert(reg.Registry(spark), rows_of(spark, rows), config(500), F.to_timestamp(F.lit("2024-02-01")))
+    assert done.counters["accepted"] == 120
+    assert max(df.count() for df in written.values()) <= 120  # 7,140 pairs share the number
+    twins = {r["local_id"]: r["enterprise_id"] for r in done.results.where("local_id >= '118'").collect()}
+    found = [(r["subject_id"], r["candidate_id"], r["subject_version"], r["candidate_version"]) for r in done.reviews.collect()]
+    assert found == [(twins["119"], twins["118"], 1, 1)]
